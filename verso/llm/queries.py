@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from verso.llm.chat import op8_chat
 from verso.llm.mixing import OP9_SQL, op9_mixing
+from verso.llm.quality import OP1_SQL, op1_quality
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
 }
 ORACLES = {
+    "op1_quality": OP1_SQL,
     "op9_mixing": OP9_SQL,
 }
