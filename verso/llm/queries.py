@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from verso.llm.chat import op8_chat
+from verso.llm.licenses import op3_licenses
 from verso.llm.mixing import OP9_SQL, op9_mixing
 from verso.llm.quality import OP1_SQL, op1_quality
+from verso.llm.secrets import op4_secrets
 from verso.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_licenses": op3_licenses,
+    "op4_secrets": op4_secrets,
     "op5_warc": op5_warc,
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
