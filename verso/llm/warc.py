@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verso.llm.common import shared_dir, table
+from verso.llm.common import shared_dir, stored, table
 
 CRLF = "\r\n"
 #: Payloads below this many bytes are not worth a revisit record.
@@ -225,7 +225,7 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     key = F.when(page != "null", page.cast("long"))
     refers = F.element_at(F.split("refers", ":"), -1).cast("long")
     row = back.select(key.alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), refers.alias("refers_to"))
-    return resolve_revisits(row)
+    return resolve_revisits(stored(row, "warc-read"))
 
 
 def resolve_revisits(row: DataFrame) -> DataFrame:
