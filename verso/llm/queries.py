@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from verso.llm.chat import op8_chat
 from verso.llm.licenses import op3_licenses
+from verso.llm.minhash import OP7_SQL, op7_near_duplicates
 from verso.llm.mixing import OP9_SQL, op9_mixing
 from verso.llm.quality import OP1_SQL, op1_quality
 from verso.llm.secrets import op4_secrets
@@ -14,11 +15,13 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_secrets": op4_secrets,
     "op5_warc": op5_warc,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
 }
 ORACLES = {
     "op1_quality": OP1_SQL,
     "op5_warc": OP5_SQL,
+    "op7_near_duplicates": OP7_SQL,
     "op9_mixing": OP9_SQL,
 }

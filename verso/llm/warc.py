@@ -13,6 +13,7 @@ and the block digest, and decodes the chunked framing.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -106,9 +107,9 @@ def records(rows: DataFrame, chunk_chars: int = 8192, segment_chars: int = 32768
     return row.select(value.alias("value"))
 
 
-def write_archives(rows: DataFrame, path: str, records_per_file: int = 256) -> None:
-    """Write records to archive files of bounded size; segments hold at most ``segment_chars`` code points."""
-    rows.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(rows: DataFrame, path: str, records_per_file: int = 512) -> None:
+    """Write records to gzip archive files of bounded size; segments hold at most ``segment_chars`` code points."""
+    rows.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def _parse(content: bytes) -> Iterator[tuple]:
@@ -139,7 +140,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 out, held = [], 0
-                for r in _parse(content):
+                for r in _parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                     out.append(r)
                     held += len(r[-1])
                     if held > 8 << 20:
