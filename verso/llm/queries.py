@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from verso.llm.chat import op8_chat
+from verso.llm.decontaminate import op10_decontamination
 from verso.llm.licenses import op3_licenses
 from verso.llm.minhash import OP7_SQL, op7_near_duplicates
 from verso.llm.mixing import OP9_SQL, op9_mixing
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
     "op1_quality": OP1_SQL,
