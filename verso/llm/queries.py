@@ -9,6 +9,7 @@ from verso.llm.minhash import OP7_SQL, op7_near_duplicates
 from verso.llm.mixing import OP9_SQL, op9_mixing
 from verso.llm.quality import OP1_SQL, op1_quality
 from verso.llm.secrets import op4_secrets
+from verso.llm.suffixes import op6_suffixes
 from verso.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_secrets": op4_secrets,
     "op5_warc": op5_warc,
+    "op6_suffixes": op6_suffixes,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
@@ -24,6 +26,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality": OP1_SQL,
     "op5_warc": OP5_SQL,
+    "op6_suffixes": op6_suffixes,
     "op7_near_duplicates": OP7_SQL,
     "op9_mixing": OP9_SQL,
 }

@@ -313,7 +313,8 @@ def all_spans(text: str, tagger: Tagger) -> tuple[list[tuple[int, int, str]], li
 
 def fit(docs: DataFrame, sample_rows: int = 200, words_per_row: int = 40) -> Field:
     """A field trained on generated lines whose filler is from at most ``sample_rows`` texts, chosen by the digest of their id."""
-    rows = docs.filter("text is not null").select("doc_id", F.substring("text", 1, 2000).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).collect()
+    ids = [r[0] for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
+    rows = docs.filter(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, 2000).alias("text")).orderBy("doc_id", "text").limit(sample_rows).collect()
     words = [w for r in rows for w in re.findall(r"[^\W\d_]+[.,]?", r["text"])[:words_per_row]]
     return train(example_lines(words))
 
