@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from verso.llm.chains import op2_passages
 from verso.llm.chat import op8_chat
 from verso.llm.decontaminate import op10_decontamination
 from verso.llm.licenses import op3_licenses
@@ -14,6 +15,7 @@ from verso.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_passages": op2_passages,
     "op3_licenses": op3_licenses,
     "op4_secrets": op4_secrets,
     "op5_warc": op5_warc,
