@@ -1,3 +1,59 @@
-"""The corpus pipeline: STAGES are applied in order, each to what the one before kept."""
+"""The corpus pipeline: each stage works on all that the one before kept.
 
-STAGES = []
+Quality rules drop bad documents, MinHash near-dedup keeps one document of each
+group (five-word shingles, similarity 0.8), decontamination drops documents
+that hold a benchmark item, the secret scan blanks secrets, and mixing draws
+the documents to target weights. All stages but the last return the columns of
+``documents``; the last returns one row a document with the words and copies
+that the mix takes of it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verso.llm.common import stored, table
+from verso.llm.decontaminate import decontaminate
+from verso.llm.minhash import near_duplicates
+from verso.llm.mixing import plan_mix
+from verso.llm.quality import quality_filter
+from verso.llm.secrets import redact_secrets
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_filter(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest doc_id; of repeated rows, one."""
+    found = stored(near_duplicates(docs), "pipeline-near")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = stored(kept.withColumnRenamed("doc_id", "kept_id"), "pipeline-kept")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return out if kept.filter("rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return plan_mix(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("mixing", mixing)]
+
+#: The secret scan's trained field has no SQL; tests/llm compares each stage with a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

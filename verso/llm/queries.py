@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run
 from verso.llm.chains import op2_passages
 from verso.llm.chat import op8_chat
 from verso.llm.decontaminate import op10_decontamination
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "pipeline": run,
 }
 ORACLES = {
     "op1_quality": OP1_SQL,
