@@ -11,13 +11,13 @@ def hourly_latency(logs: DataFrame, at: str, values: list[str], as_of: str, days
     """Requests and mean latencies (one decimal) of each hour of the last ``days``, at most 30."""
     since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {min(days, 30)} DAYS")
     hour = F.date_format(F.date_trunc("hour", F.col(at)), "yyyy-MM-dd'T'HH:00:00")
-    return logs.filter(F.col(at) >= since).groupBy(hour.alias("hour")).agg(F.count("*").alias("count"), *[F.round(F.avg(v), 1).alias(f"avg_{v}") for v in values])
+    return logs.filter(F.col(at) >= since).groupBy(hour.alias("hour")).agg(F.count("*").alias("count"), *[F.round(F.round(F.avg(v), 6), 1).alias(f"avg_{v}") for v in values])
 
 
 def summary(logs: DataFrame, at: str, value: str, flag: Column, as_of: str) -> DataFrame:
     """Requests, flagged requests and mean latency of the last day; the mean is null if there are none."""
     since = F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 24 HOURS")
-    return logs.filter(F.col(at) >= since).agg(F.count("*").alias("requests"), F.count_if(flag).alias("flagged"), F.round(F.avg(value), 1).alias(f"avg_{value}"))
+    return logs.filter(F.col(at) >= since).agg(F.count("*").alias("requests"), F.count_if(flag).alias("flagged"), F.round(F.round(F.avg(value), 6), 1).alias(f"avg_{value}"))
 
 
 def ocr_rates(docs: DataFrame) -> DataFrame:

@@ -358,13 +358,13 @@ def _as_of(spark, sf_dir) -> str:
     return str(read(spark, sf_dir, "events").agg(F.max("ts").alias("t")).first()["t"])
 
 
-@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00:00') AS hour, count(*) AS count, round(avg(value), 1) AS avg_value
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00:00') AS hour, count(*) AS count, round(round(avg(value), 6), 1) AS avg_value
 FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY 1""")
 def dashboard_latency(spark, sf_dir):
     return observability.hourly_latency(read(spark, sf_dir, "events"), "ts", ["value"], _as_of(spark, sf_dir))
 
 
-@query("SELECT count(*) AS requests, count_if(event_type = 'click') AS flagged, round(avg(value), 1) AS avg_value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
+@query("SELECT count(*) AS requests, count_if(event_type = 'click') AS flagged, round(round(avg(value), 6), 1) AS avg_value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
 def dashboard_summary(spark, sf_dir):
     return observability.summary(read(spark, sf_dir, "events"), "ts", "value", F.col("event_type") == "click", _as_of(spark, sf_dir))
 
@@ -495,7 +495,7 @@ def answer_questions(spark, sf_dir):
 # streaming -----------------------------------------------------------------------------------------
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS count, round(avg(value), 1) AS avg_value FROM events GROUP BY 1")
+@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS count, round(round(avg(value), 6), 1) AS avg_value FROM events GROUP BY 1")
 def stream_latency(spark, sf_dir):
     return jobs.run_latency(spark, sf_dir)
 

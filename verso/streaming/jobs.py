@@ -18,7 +18,7 @@ def work_dir(spark: SparkSession, label: str) -> str:
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Requests and mean value of each hour of a stream; state older than the watermark goes."""
     stamped = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return stamped.groupBy(F.window("at", "1 hour")).agg(F.count("*").alias("count"), F.round(F.avg("value"), 1).alias("avg_value")).select(F.col("window.start").alias("hour"), "count", "avg_value")
+    return stamped.groupBy(F.window("at", "1 hour")).agg(F.count("*").alias("count"), F.round(F.round(F.avg("value"), 6), 1).alias("avg_value")).select(F.col("window.start").alias("hour"), "count", "avg_value")
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
