@@ -165,7 +165,7 @@ def train(lines: list[tuple[list[str], list[int]]], rounds: int = 100, rate: flo
     return model
 
 
-def example_lines(words: list[str], count: int = 800, seed: int = 11) -> list[tuple[list[str], list[int]]]:
+def example_lines(words: list[str], count: int = 1200, seed: int = 11) -> list[tuple[list[str], list[int]]]:
     """Tagged lines: filler words with secrets of many forms, and with numbers, links, dates and names that are none."""
     rng = random.Random(seed)
     words = words or ["the", "of", "and"]
@@ -188,6 +188,8 @@ def example_lines(words: list[str], count: int = 800, seed: int = 11) -> list[tu
                 lambda: f"https://{rng.choice(words).lower()}.example.com/{rng.choice(words).lower()}/{rng.randint(1, 999)}",
                 lambda: f"20{rng.randint(10, 30)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
                 lambda: f"{rng.choice(words).lower()}.{rng.choice(words).lower()}@example.org",
+                lambda: f"{rng.choice(words).lower()}{rng.choice(('.', '_', '-', ''))}{rng.randint(1, 9999)}@mail{rng.randint(1, 99)}.example.com",
+                lambda: f"{rng.choice(words)}{rng.randint(1, 2030)} {rng.randint(1, 31)}.{rng.randint(1, 12)}.20{rng.randint(10, 30)} 192.168.{rng.randint(0, 255)}.{rng.randint(0, 255)}",
                 lambda: rng.choice(words).title() + rng.choice(words).title(),
                 lambda: f"{rng.choice(words)} = {rng.randint(1, 50)};",
                 lambda: f"{rng.choice(('password', 'token', 'key'))} {rng.choice(words)}",
@@ -301,7 +303,7 @@ class Tagger:
                 out[-1] = (out[-1][0], m.end(), "field")
             elif tag != O:
                 out.append((m.start(), m.end(), "field"))
-        return [s for s in out if s[1] - s[0] >= 8]
+        return [s for s in out if s[1] - s[0] >= 12]
 
 
 def all_spans(text: str, tagger: Tagger) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
