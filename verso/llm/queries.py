@@ -30,7 +30,6 @@ QUERIES = {
 ORACLES = {
     "op1_quality": OP1_SQL,
     "op5_warc": OP5_SQL,
-    "op6_suffixes": op6_suffixes,
     "op7_near_duplicates": OP7_SQL,
     "op9_mixing": OP9_SQL,
 }
