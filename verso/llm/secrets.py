@@ -93,7 +93,7 @@ def doc_features(n_tokens: int, n_equals: int, n_chars: int) -> list[float]:
 
 @dataclass
 class Field:
-    """Weights of a trained field: token features at offsets -2..1, text features, transitions and start."""
+    """Weights of a trained field: of token features at each offset, text features and transitions."""
 
     offsets: tuple[int, ...] = (0, -1, -2, -3, 1)
     token: np.ndarray = field(default_factory=lambda: np.zeros((5, N_TYPE, 3)))
