@@ -7,11 +7,11 @@ similarity precisely, so that most false candidates fall without touching their
 sets. What is left is confirmed on the full sets.
 
 Texts with equal sets are one node from the start. The nodes of a band bucket
-are compared with one pivot each, round by round with changing pivots; links
-join components, and a bucket whose nodes are all in one component is done.
-Nodes that are still apart after the rounds are compared with everything in
-their buckets. No bucket is ever expanded into its pairs while pivots can still
-join it, and none is cut short.
+are compared with one pivot each, first the one that shares most buckets, then
+others; links join components, and a bucket whose nodes are all in one
+component is done. Nodes that are still apart after the rounds are joined by an
+exact prefix filter on their rarest shingles. No bucket is expanded into its
+pairs, and none is cut short.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verso.llm.common import stored, table
@@ -58,8 +59,13 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _odd(bits: np.ndarray) -> np.ndarray:
+    """The parity bitmap of bit numbers."""
+    return np.packbits((np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 class Sampler:
-    """MinHash values, band keys and odd sketch of a shingle set."""
+    """MinHash values, band keys and odd sketches of a shingle set: of its samples, then of the set itself."""
 
     def __init__(self, bands: int, rows: int, seed: int = 5):
         self.bands, self.rows = bands, rows
@@ -77,8 +83,7 @@ class Sampler:
         for k in range(self.rows):
             keys = _mix(keys ^ low[k :: self.rows])
         bits = (_mix(low ^ self.index) % np.uint64(SKETCH_BITS)).astype(np.int64)
-        parity = (np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-        return keys.view(np.int64), np.packbits(parity).view(np.int64)
+        return keys.view(np.int64), np.concatenate([_odd(bits), _odd((x % np.uint64(SKETCH_BITS)).astype(np.int64))])
 
 
 def _describe(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -111,15 +116,15 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("node", "text").mapInPandas(look, "node binary, x array<long>")
 
 
-def sketch_distance(a: str, b: str) -> Column:
-    """Population count of the XOR of two sketch columns."""
+def sketch_distance(a: str, b: str, first: int = 0) -> Column:
+    """Population count of the XOR of two sketch columns, of the sketch that begins at ``first``."""
     out = F.lit(0)
-    for i in range(SKETCH_LONGS):
+    for i in range(first, first + SKETCH_LONGS):
         out = out + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
     return out
 
 
-def most_distance(samples: int, percent: int, sigmas: float = 6.0) -> int:
+def most_distance(samples: int, percent: int, sigmas: float = 4.5) -> int:
     """The greatest sketch distance that a pair at the threshold has, but for ``sigmas`` standard deviations.
 
     At similarity J two samples of size k differ in about 2k(1-J) elements and
@@ -131,11 +136,22 @@ def most_distance(samples: int, percent: int, sigmas: float = 6.0) -> int:
     return int(np.ceil(mean + 3 * mean**0.5))
 
 
+def _can_link(a: str, b: str, na: str, nb: str, percent: int, most: int) -> Column:
+    """Whether two sketches allow the similarity.
+
+    Every bit of difference between sketches of whole sets is an element of
+    difference at least, so that test loses nothing; sets too large for it to
+    tell are left to the sketches of samples.
+    """
+    surely = sketch_distance(a, b, SKETCH_LONGS) * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & surely & (sketch_distance(a, b) <= most)
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs (a, b) whose sketches are near and whose full sets have the similarity."""
     side = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
     near = pairs.join(side[0], "a").join(side[1], "b")
-    near = near.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (sketch_distance("sa", "sb") <= most)).select("a", "b", "na", "nb")
+    near = near.filter(_can_link("sa", "sb", "na", "nb", percent, most)).select("a", "b", "na", "nb")
     near = stored(near, "near-pairs")
     full = [sets.select(F.col("node").alias(c), F.col("x").alias(f"x{c}")) for c in "ab"]
     both = F.size(F.array_intersect("xa", "xb"))
@@ -143,7 +159,30 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
     return checked.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, pivot_rounds: int = 3) -> DataFrame:
+def _prefix_pairs(apart: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
+    """All pairs (a, b) of different roots in ``node, root, x`` that can have the similarity.
+
+    With shingles ordered from rare to frequent, the smaller of two similar
+    sets has one of its first ``n - 2t/(1+t) n`` shingles among the first
+    ``n - t n`` of the greater. Copies that were edited in different places
+    begin with shingles of their own, which no other has, and pair with none.
+    """
+    row = apart.select("node", "root", F.size("x").alias("n"), F.explode("x").alias("e"))
+    often = row.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
+    own = W.partitionBy("node")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "e"))
+    row = row.join(often, "e").withColumn("place", place)
+    probe = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    index = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - 1e-9) + 1
+    row = stored(row.filter(F.col("place") <= probe).select("e", "node", "root", "n", (F.col("place") <= index).alias("short")), "near-prefixes")
+    row = row.join(nodes.select("node", "sketch"), "node")
+    great = row.select("e", F.col("node").alias("p"), F.col("root").alias("rp"), F.col("n").alias("np"), F.col("sketch").alias("sp"))
+    small = row.filter("short").select(F.col("e").alias("f"), F.col("node").alias("q"), F.col("root").alias("rq"), F.col("n").alias("nq"), F.col("sketch").alias("sq"))
+    fits = (F.col("e") == F.col("f")) & (F.col("rp") != F.col("rq")) & ((F.col("nq") < F.col("np")) | ((F.col("nq") == F.col("np")) & (F.col("q") < F.col("p")))) & _can_link("sp", "sq", "np", "nq", percent, most)
+    return great.join(small, fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, pivot_rounds: int = 2) -> DataFrame:
     """One row a row of ``docs``: ``doc_id, n_shingles, component_id``.
 
     Texts are linked if 100 times the common shingles are at least ``percent``
@@ -160,8 +199,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     nodes = known.filter("node is not null").join(reps, ["node", "doc_id"]).dropDuplicates(["node"])
     nodes = stored(nodes, "near-nodes")
     bucket = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    shared = bucket.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    member = stored(bucket.join(shared, "bucket"), "near-buckets")
+    shared = stored(bucket.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "near-shared")
+    member = stored(bucket.join(shared.select("bucket"), "bucket"), "near-buckets")
     wanted = stored(member.select("node").distinct(), "near-wanted")
     label = stored(wanted.select("node", F.col("node").alias("root")), "near-labels")
     nodes = nodes.join(wanted, "node").select("node", "doc_id", "n", "sketch")
@@ -176,23 +215,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         return stored(rooted.join(apart, "bucket").select("bucket", "node", "root"), "near-open")
 
     rooted = member.withColumn("root", F.col("node"))
+    # a text that others were copied from shares more buckets with them than they do among each other
+    degree = stored(member.join(shared, "bucket").groupBy("node").agg(F.sum("size").alias("degree")), "near-degrees")
     for turn in range(pivot_rounds):
-        pivot = rooted.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.root").alias("above"))
+        if turn == 0:
+            ranked = rooted.join(degree, "node").withColumn("h", -F.col("degree"))
+        else:
+            ranked = rooted.withColumn("h", F.xxhash64("node", "bucket", F.lit(turn)))
+        pivot = ranked.groupBy("bucket").agg(F.min(F.struct("h", "node", "root")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.root").alias("above"))
         pairs = rooted.join(pivot, "bucket").filter("root != above").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         label = merge(label, stored(_confirmed(pairs, nodes, sets, percent, most), "near-links"))
         rooted = open_members(member if turn == 0 else rooted.select("bucket", "node"), label)
         if rooted.isEmpty():
             break
     if not rooted.isEmpty():
-        # all that are not of their bucket's largest component, with all of the bucket
-        size = rooted.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-        main = size.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
-        full = rooted.join(nodes.select("node", "n", "sketch"), "node").join(main, "bucket")
-        left = full.filter("root != main").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = full.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), (F.col("root") == F.col("main")).alias("major"))
-        near = (left["bucket"] == right["bucket"]) & (F.col("ra") != F.col("rb")) & (F.col("major") | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (sketch_distance("sa", "sb") <= most)
-        pairs = left.join(right, near).select("a", "b").distinct()
-        label = merge(label, stored(_confirmed(pairs, nodes, sets, percent, most), "near-links"))
+        apart = rooted.select("node", "root").distinct().join(sets, "node")
+        label = merge(label, stored(_confirmed(_prefix_pairs(apart, nodes, percent, most), nodes, sets, percent, most), "near-links"))
     joined = label.join(nodes.select("node", "doc_id"), "node")
     least = joined.groupBy("root").agg(F.min("doc_id").alias("least"))
     joined = stored(joined.join(least, "root").select("node", "least"), "near-components")
