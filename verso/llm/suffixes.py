@@ -103,22 +103,39 @@ def entries(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def folded(code: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the distinct codes of a text: where each stands first, and its other places (null if there are none)."""
+    _, at, back, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    more = np.full(len(at), None, object)
+    if len(at) < len(code):
+        order, end = np.argsort(back, kind="stable"), np.cumsum(count)
+        for u in np.flatnonzero(count > 1):
+            more[u] = place[order[end[u] - count[u] + 1 : end[u]]].astype(np.int32)
+    return at, more
+
+
 def suffix_array(docs: DataFrame, length: int) -> DataFrame:
-    """Entries ``key, ctx, doc, first, last`` of texts ``doc, text``."""
+    """Entries ``key, ctx, doc, first, last, more`` of texts ``doc, text``.
+
+    A context that a text repeats is one entry, with the other places where
+    it begins in ``more``; a text of a thousand equal lines makes few entries.
+    """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found, docs_, held = [], [], 0
 
             def out() -> pd.DataFrame:
-                key, ctx, first, last = (np.concatenate(x) for x in zip(*found))
+                key, ctx, first, last, more = (np.concatenate(x) for x in zip(*found))
                 many = [len(f[0]) for f in found]
-                return pd.DataFrame({"key": key.view(np.int64), "ctx": ctx.view(np.int64), "doc": np.repeat(np.array(docs_, np.int64), many), "first": first, "last": last})
+                return pd.DataFrame({"key": key.view(np.int64), "ctx": ctx.view(np.int64), "doc": np.repeat(np.array(docs_, np.int64), many), "first": first, "last": last, "more": more})
 
             for doc, text in zip(batch["doc"], batch["text"]):
                 data = np.frombuffer(text.encode(), np.uint8)
                 if len(data) >= length:
-                    found.append(entries(data, length))
+                    key, ctx, first, last = entries(data, length)
+                    at, more = folded(_pair(key, ctx), first)
+                    found.append((key[at], ctx[at], first[at], last[at], more))
                     docs_.append(doc)
                     held += len(found[-1][0])
                     if held > 200_000:
@@ -127,7 +144,7 @@ def suffix_array(docs: DataFrame, length: int) -> DataFrame:
             if found:
                 yield out()
 
-    return docs.mapInPandas(look, "key long, ctx long, doc long, first int, last int")
+    return docs.mapInPandas(look, "key long, ctx long, doc long, first int, last int, more array<int>")
 
 
 class SuffixIndex:
@@ -154,7 +171,7 @@ class SuffixIndex:
     def add(self, docs: DataFrame) -> None:
         """Index a batch of texts ``doc, text`` and note what it matches in itself and in the levels."""
         name, path = self._save(suffix_array(docs, self.length).repartition(self.buckets, "key"))
-        new = self.spark.table(name).groupBy("key", "ctx").agg(F.count("*").alias("n"))
+        new = self.spark.table(name).groupBy("key", "ctx").agg(F.sum(1 + F.coalesce(F.size("more"), F.lit(0))).alias("n"))
         equal = [new.filter("n > 1").select("key", "ctx")]
         mixed = [new.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")]
         mine = new.select("key", "ctx")
@@ -187,7 +204,9 @@ class SuffixIndex:
         whole, some = None, None
         for _, level, _ in self.levels:
             rows = self.spark.table(level)
-            a = rows.join(equal, ["key", "ctx"], "left_semi").select("doc", F.col("first").alias("start"), (F.col("last") + self.length).alias("end"))
+            a = rows.join(equal, ["key", "ctx"], "left_semi")
+            a = a.select("doc", (F.col("last") - F.col("first") + self.length).alias("size"), F.explode(F.concat(F.array("first"), F.coalesce("more", F.array().cast("array<int>")))).alias("start"))
+            a = a.select("doc", "start", (F.col("start") + F.col("size")).alias("end"))
             b = rows.join(mixed, "key", "left_semi").groupBy("key", "ctx").agg(F.min(F.struct("doc", "first", "last")).alias("r"))
             whole = a if whole is None else whole.unionByName(a)
             some = b if some is None else some.unionByName(b)
