@@ -69,7 +69,9 @@ def _prints(prefix: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 def size_class(m: int) -> tuple[int, int]:
     """Window length and stride for an item of ``m`` shingles."""
     if m >= 32:  # five edited shingles leave all windows of the head or all of the tail alone
-        return max(c for c in CLASSES if c <= (m - WIDTH) // 2 - 7), 8
+        half = (m - WIDTH) // 2
+        size = max(c for c in CLASSES if c <= half - 7)
+        return (size, 8) if size >= 12 else (max(c for c in CLASSES if c <= min(half - 3, 11)), 4)
     size = max(c for c in CLASSES if c <= max(1, int(0.45 * m)))
     return size, (8 if size >= 12 else 4 if size >= 5 else 2 if size >= 3 else 1)
 
