@@ -467,3 +467,25 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, odd):
     rows = corpus_pipeline.near_dedup(spark, odd, "").collect()
     assert sum(r["doc_id"] == 9 for r in rows) == 1 and {r["doc_id"] for r in rows} >= {1, 4, 5, 6, 7, 9, 12} and not {2, 3} & {r["doc_id"] for r in rows}
     assert corpus_pipeline.near_dedup(spark, odd.filter("false"), "").count() == 0
+
+
+def test_shared_dir_without_a_setting():
+    class Context:
+        at = None
+
+        def getCheckpointDir(self):
+            return self.at
+
+        def setCheckpointDir(self, path):
+            self.at = f"{path}/own"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    first, second = shared_dir(Session, "a"), shared_dir(Session, "a")
+    assert first != second and first.startswith("file://") and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
