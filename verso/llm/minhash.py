@@ -31,6 +31,7 @@ from verso.llm.components import merge
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SKETCH_BITS, SKETCH_LONGS = 1024, 16
+FILTER_BITS = 1 << 25
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -87,18 +88,23 @@ class Sampler:
 
 
 def _describe(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, node, bands, sketch``: node is the digest of the set, null if it is empty."""
+    """``doc_id, n, node, bands, sketch``: node is the digest of the set, null if it is empty.
+
+    Of equal sets in one batch only the first has bands and a sketch, so copies add few rows to their buckets.
+    """
     sampler = Sampler(bands, rows)
     schema = "doc_id long, n long, node binary, bands array<long>, sketch array<long>"
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, seen = [], set()
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 x = shingles(text, width)
                 if len(x):
-                    keys, sketch = sampler(x)
-                    out.append((doc_id, len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), keys, sketch))
+                    node = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+                    keys, sketch = (None, None) if node in seen else sampler(x)
+                    seen.add(node)
+                    out.append((doc_id, len(x), node, keys, sketch))
                 else:
                     out.append((doc_id, 0, None, None, None))
             yield pd.DataFrame(out, columns=["doc_id", "n", "node", "bands", "sketch"]).astype({"doc_id": "Int64"})
@@ -116,6 +122,20 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("node", "text").mapInPandas(look, "node binary, x array<long>")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be in ``wanted``: all that are, and few others, so that a join shuffles less.
+
+    A bitmap of hashed keys goes to all tasks: ``FILTER_BITS`` bits at most,
+    however many keys. When it fills up, more rows pass; none is lost.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    pieces = wanted.groupBy(F.bitmap_bucket_number(bit).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (place % 8).cast("int")) == 1
+    return rows.join(F.broadcast(pieces), F.bitmap_bucket_number(bit) == F.col("piece")).filter(is_set).drop("piece", "bitmap")
+
+
 def sketch_distance(a: str, b: str, first: int = 0) -> Column:
     """Population count of the XOR of two sketch columns, of the sketch that begins at ``first``."""
     out = F.lit(0)
@@ -195,17 +215,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = stored(_describe(docs, width, bands, rows), "near-described")
-    reps = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = known.filter("node is not null").join(reps, ["node", "doc_id"]).dropDuplicates(["node"])
-    nodes = stored(nodes, "near-nodes")
-    bucket = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    shared = stored(bucket.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "near-shared")
-    member = stored(bucket.join(shared.select("bucket"), "bucket"), "near-buckets")
-    wanted = stored(member.select("node").distinct(), "near-wanted")
+    reps = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    bucket = known.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    # 64-bit digests of the nodes are enough to see that a bucket holds two of them
+    ends = bucket.withColumn("h", F.xxhash64("node")).groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    member = stored(bucket.join(ends.filter("low != high").select("bucket"), "bucket").select("bucket", "node").distinct(), "near-buckets")
+    wanted = stored(member.select("node").distinct().join(reps, "node"), "near-wanted")
     label = stored(wanted.select("node", F.col("node").alias("root")), "near-labels")
-    nodes = nodes.join(wanted, "node").select("node", "doc_id", "n", "sketch")
-    nodes = stored(nodes, "near-compared")
-    sets = stored(_sets(docs.join(nodes.select("doc_id", "node"), "doc_id").dropDuplicates(["node"]), width), "near-sets")
+    sketches = _likely(known.filter("sketch is not null").select("node", "sketch"), wanted, "node")
+    nodes = stored(wanted.join(sketches, "node").dropDuplicates(["node"]), "near-compared")
+    sets = stored(_sets(_likely(docs, wanted, "doc_id").join(wanted.select("doc_id", "node"), "doc_id").dropDuplicates(["node"]), width), "near-sets")
     most = most_distance(bands * rows, percent)
 
     def open_members(member: DataFrame, label: DataFrame) -> DataFrame:
@@ -216,7 +235,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     rooted = member.withColumn("root", F.col("node"))
     # a text that others were copied from shares more buckets with them than they do among each other
-    degree = stored(member.join(shared, "bucket").groupBy("node").agg(F.sum("size").alias("degree")), "near-degrees")
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("size"))
+    degree = stored(member.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("degree")), "near-degrees")
     for turn in range(pivot_rounds):
         if turn == 0:
             ranked = rooted.join(degree, "node").withColumn("h", -F.col("degree"))
