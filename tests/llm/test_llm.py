@@ -130,6 +130,18 @@ def test_fuzzy_passages(spark, odd, empty):
     assert chains.fuzzy_passages(empty).count() == 0
 
 
+def test_passages_whose_seeds_lead_to_third_texts(spark):
+    """Each passage of 60 words is in two texts; others hold its halves, its middle, and each of its seeds alone."""
+    rng, rows, want = random.Random(12), [], set()
+    for i in range(30):
+        p = prose(60, rng).split()
+        want |= {100 * i, 100 * i + 1}
+        parts = [p[:32], p[28:], p[15:45], *(p[k : k + 9] for k in range(0, 52, 4))]
+        rows += [(100 * i + k, prose(40 + k, rng) + " " + " ".join(w) + " " + prose(30, rng), "s") for k, w in enumerate([p, p, *parts])]
+    found = [(r["doc_id"], r["other_id"], r["n_words"]) for r in chains.fuzzy_passages(table(spark, rows)).collect()]
+    assert want <= {d for a, b, n in found if n >= 60 for d in (a, b)}
+
+
 # op3 ------------------------------------------------------------------------------------------------
 
 
