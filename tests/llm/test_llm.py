@@ -438,6 +438,44 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(odd, bench.filter("false")).count() == 0
 
 
+def test_leaks_of_long_items_with_scattered_edits(spark):
+    """Items of 60 to 500 words with substitutions, insertions and deletions anywhere, against the similarity of the copy itself."""
+    rng = random.Random(21)
+    items = [prose(n, rng).split() for n in (60, 104, 150, 204, 304, 500) for _ in range(3)]
+    items.append((items[0] + items[1][:40]) * 2)  # shingles that an item repeats
+
+    def bag(words):
+        out = collections.Counter()
+        for i in range(len(words) - 4):
+            out[tuple(words[i : i + 5])] += 1
+        return out
+
+    def alike(a, b):
+        x, y = bag(a), bag(b)
+        weigh = lambda c: sum(n * sum(map(len, k)) for k, n in c.items())
+        return weigh(x & y) / weigh(x | y)
+
+    rows, want = [], set()
+    for i in range(190):
+        k = i % len(items)
+        copy = list(items[k])
+        for _ in range(rng.randint(1, max(1, len(copy) // 40))):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randint(0, 1)] = ["edited"] * rng.randint(0, 2)
+        rows.append((i, " ".join([prose(rng.randint(0, 90), rng), *copy, prose(rng.randint(0, 90), rng)]), "s"))
+        if alike(copy, items[k]) >= 0.8:
+            want.add((i, k))
+    bench = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
+    found = decontaminate.find_leaks(table(spark, rows), bench).collect()
+    assert len(want) > 60 and want <= {(r["doc_id"], r["item_id"]) for r in found}
+    for r in found:
+        part = rows[r["doc_id"]][1].split()[r["first_word"] :][: r["n_words"]]
+        assert r["similarity"] == pytest.approx(alike(part, items[r["item_id"]])) and r["similarity"] >= 0.8
+        if r["item_id"] == r["doc_id"] % len(items) and r["n_words"] < 90:  # no stretch is better
+            words = rows[r["doc_id"]][1].split()
+            assert r["similarity"] >= max(alike(words[a:b], items[r["item_id"]]) for a in range(0, len(words) - 47, 3) for b in range(a + 48, min(len(words), a + 75) + 1, 3)) - 1e-9
+
+
 # pipeline -------------------------------------------------------------------------------------------
 
 

@@ -1,17 +1,13 @@
-"""Benchmark decontamination by SimHash windows sized to the items.
+"""Benchmark decontamination by weighted shingles of all of an item, ranked by SimHash windows of its size.
 
 Words are runs of letters and digits; five-word shingles weigh as many letters
-as they have. Each benchmark item is represented by fingerprints of two windows
-of its own size class, one near its head and one near its tail, at as many
-consecutive offsets as the document windows have stride, so that a copied
-passage always has a document window that falls on one of them. The Hamming
-blocks of the multi-index guarantee every fingerprint within the radius: with
-one block more than the radius, one block of such a pair is equal. Candidates
-are verified by the exact weighted Jaccard similarity of the item with the
-aligned stretch of the document.
-
-One edit changes five shingles in a row; it cannot reach both the head and the
-tail window of an item long enough to stay above the threshold after it.
+as they have. A stretch of a document that is similar enough to an item has so
+much of the item's weight that it cannot miss a set of shingles that weighs
+more than the rest: such a set of each item, its rarest shingles, is looked up
+for every shingle of a document, wherever edits fall. Around each hit the
+region that a similar stretch can reach is taken. Of several regions those with
+a SimHash window of the item's size within the radius are verified first, by
+the exact weighted Jaccard similarity of the item with every stretch.
 """
 
 from __future__ import annotations
@@ -29,10 +25,9 @@ from pyspark.sql import functions as F
 from verso.llm.common import count_words, table
 
 WIDTH = 5
-#: Window lengths in shingles; an item takes the largest that fits it.
-CLASSES = tuple(sorted({int(1.5**i) for i in range(1, 24)} | {1}))
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-CHUNK = 16384
+#: Shingles are first looked up by so many low bits.
+LOW = 20
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -66,74 +61,116 @@ def _prints(prefix: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(prefix[starts + size] > prefix[starts], axis=1).view(np.uint64)[:, 0]
 
 
-def size_class(m: int) -> tuple[int, int]:
-    """Window length and stride for an item of ``m`` shingles."""
-    if m >= 32:  # five edited shingles leave all windows of the head or all of the tail alone
-        half = (m - WIDTH) // 2
-        size = max(c for c in CLASSES if c <= half - 7)
-        return (size, 8) if size >= 12 else (max(c for c in CLASSES if c <= min(half - 3, 11)), 4)
-    size = max(c for c in CLASSES if c <= max(1, int(0.45 * m)))
-    return size, (8 if size >= 12 else 4 if size >= 5 else 2 if size >= 3 else 1)
-
-
 class Index:
-    """Multi-index of the fingerprints of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], radius: int = 3):
-        self.radius, self.parts = radius, radius + 1
-        self.items = []
-        groups: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for item_id, text in items:
-            x, w = shingles(text)
-            if not len(x):
-                continue
-            size, stride = size_class(len(x))
-            prefix = _prefix(x, w)
-            at = np.unique(np.clip(np.concatenate([np.arange(stride), len(x) - size - np.arange(stride)]), 0, len(x) - size))
-            for a, f in zip(at, _prints(prefix, at, size)):
-                groups.setdefault((size, stride), []).append((int(f), len(self.items), int(a)))
-            self.items.append((item_id, len(x), Counter(x.tolist()), dict(zip(x.tolist(), w.tolist()))))
-        self.groups = []
-        bits = [64 * i // self.parts for i in range(self.parts + 1)]
-        for (size, stride), rows in sorted(groups.items()):
-            prints = np.array([r[0] for r in rows], np.uint64)
-            tables = []
-            for low, high in zip(bits, bits[1:]):
-                shift, mask = np.uint64(low), np.uint64((1 << (high - low)) - 1)
-                key = ((prints >> shift) & mask).astype(np.int64)
-                # beyond 16 bits a table by value would be sparse: blocks are looked up by their low 16 bits
-                ends = np.zeros((1 << min(16, high - low)) + 1, np.int64)
-                key &= len(ends) - 2
-                order = np.argsort(key, kind="stable")
-                np.add.at(ends, key + 1, 1)
-                tables.append((shift, np.uint64(len(ends) - 2), np.cumsum(ends), order))
-            self.groups.append((size, stride, prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), tables))
-        self.longest = max((g[0] for g in self.groups), default=0)
-
-    def candidates(self, x: np.ndarray, w: np.ndarray) -> set[tuple[int, int]]:
-        """``(item, start)``: items within the radius somewhere, with the start of the stretch that they would take."""
-        found: set[tuple[int, int]] = set()
-        for base in range(0, max(1, len(x) - self.longest + 1), CHUNK):
-            part = slice(base, min(len(x), base + CHUNK + self.longest))
-            prefix = _prefix(x[part], w[part])
-            for size, stride, prints, owner, offset, tables in self.groups:
-                starts = np.arange(0, len(prefix) - size, stride)
-                if not len(starts):
-                    continue
-                f = _prints(prefix, starts, size)
-                for shift, mask, ends, order in tables:
-                    key = ((f >> shift) & mask).astype(np.int64)
-                    low = ends[key]
-                    many = ends[key + 1] - low
-                    hit = np.flatnonzero(many)
-                    if not len(hit):
-                        continue
-                    who = np.repeat(hit, many[hit])
-                    step = np.arange(len(who)) - np.repeat(np.cumsum(many[hit]) - many[hit], many[hit])
-                    entry = order[low[who] + step]
-                    near = np.bitwise_count(f[who] ^ prints[entry]) <= self.radius
-                    found.update(zip(owner[entry[near]].tolist(), (base + starts[who[near]] - offset[entry[near]]).tolist()))
-        return found
+    """The shingles of a block of items that no stretch of similarity ``least`` can do without."""
+
+    def __init__(self, items: list[tuple[int, str]], radius: int = 3, least: float = 0.8):
+        self.radius, self.least = radius, least
+        self.items, self.known = [], []
+        parts = [(item_id, *shingles(text)) for item_id, text in items]
+        parts = [(item_id, x, w) for item_id, x, w in parts if len(x)]
+        spread = Counter(k for _, x, _ in parts for k in set(x.tolist()))
+        keys, owners = [], []
+        for item_id, x, w in parts:
+            count, weight = Counter(x.tolist()), dict(zip(x.tolist(), w.tolist()))
+            total = sum(weight[k] * c for k, c in count.items())
+            kept = 0
+            for k in sorted(count, key=lambda k: (spread[k], k)):
+                keys.append(k)
+                owners.append(len(self.items))
+                kept += weight[k] * count[k]
+                if kept > (1 - least) * total + 1:
+                    break
+            own = np.array(sorted(count), np.uint64)
+            numbers = np.array([(weight[k], count[k]) for k in own.tolist()], np.int64)
+            whole = _prints(_prefix(x, w), np.zeros(1, np.int64), len(x))[0]
+            self.known.append((own, numbers[:, 0], numbers[:, 1], total, whole))
+            self.items.append((item_id, len(x), count, weight))
+        order = np.argsort(np.array(keys, np.uint64), kind="stable")
+        self.keys, self.owners = np.array(keys, np.uint64)[order], np.array(owners, np.int64)[order]
+        self.low = np.zeros(1 << LOW, bool)
+        self.low[self._low(self.keys)] = True
+
+    @staticmethod
+    def _low(x: np.ndarray) -> np.ndarray:
+        return (x & np.uint64((1 << LOW) - 1)).astype(np.int64)
+
+    def regions(self, x: np.ndarray, w: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each item that may be there: the parts of a text in which every similar stretch lies."""
+        at = np.flatnonzero(self.low[self._low(x)])
+        first = np.searchsorted(self.keys, x[at])
+        many = np.searchsorted(self.keys, x[at], "right") - first
+        hit = np.flatnonzero(many)
+        if not len(hit):
+            return {}
+        many = many[hit]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        owner, place = self.owners[np.repeat(first[hit], many) + step], np.repeat(at[hit], many)
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        weight = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+        room = np.array([self.known[i][3] for i in owner.tolist()]) / max(self.least, 1e-9) + 1
+        low = np.searchsorted(weight, weight[place + 1] - room)
+        high = np.searchsorted(weight, weight[place] + room, "right") - 1
+        out: dict[int, list[tuple[int, int]]] = {}
+        for i, a, b in zip(owner.tolist(), low.tolist(), high.tolist()):
+            parts = out.setdefault(i, [])
+            if parts and a <= parts[-1][1]:
+                parts[-1] = (parts[-1][0], b)
+            else:
+                parts.append((a, b))
+        return out
+
+    def _ranked(self, item: int, x: np.ndarray, w: np.ndarray, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Regions in order of the least distance of an item-sized window beyond the radius."""
+        if len(parts) == 1:
+            return parts
+        far = []
+        for a, b in parts:
+            size = min(self.items[item][1], b - a)
+            prints = _prints(_prefix(x[a:b], w[a:b]), np.arange(b - a - size + 1), size)
+            far.append(max(0, int(np.bitwise_count(prints ^ self.known[item][4]).min()) - self.radius))
+        return [parts[i] for i in sorted(range(len(parts)), key=lambda i: (far[i], i))]
+
+    def best(self, item: int, x: np.ndarray, w: np.ndarray, parts: list[tuple[int, int]], least: float) -> tuple[float, int, int]:
+        """The greatest weighted Jaccard similarity, ``least`` or more, of an item with any stretch, and the first such stretch.
+
+        The best stretch begins and ends with shingles of the item. From each
+        of them on the common weight is summed up, a shingle as often as the
+        item has it, as far as a similar stretch can weigh.
+        """
+        own, weights, counts, total, _ = self.known[item]
+        found = []
+        for a, b in parts:
+            at = np.searchsorted(own, x[a:b])
+            at[at == len(own)] = 0
+            place = np.flatnonzero(own[at] == x[a:b])
+            if weights[at[place]].sum() >= least * total - 1e-6:
+                found.append((a, b, place + a, at[place]))
+        best = (0.0, 0, 0)
+        if len(found) > 1:
+            ranks = {part: i for i, part in enumerate(self._ranked(item, x, w, [f[:2] for f in found]))}
+            found.sort(key=lambda f: ranks[f[:2]])
+        for a, b, place, kind in found:
+            gain, cap = weights[kind], counts[kind]
+            ahead = np.concatenate([[0], np.cumsum(gain)])
+            length = np.concatenate([[0], np.cumsum(w[a:b], dtype=np.int64)])
+            start, stop = length[place - a], length[place - a + 1]
+            ends = np.searchsorted(stop, start + total / max(least, 1e-9) + 1, "right")
+            order = np.argsort(kind, kind="stable")
+            new = np.concatenate([[True], np.diff(kind[order]) != 0])
+            nth = np.empty(len(kind), np.int64)
+            nth[order] = np.arange(len(kind)) - np.maximum.accumulate(np.where(new, np.arange(len(kind)), 0))
+            gone = np.zeros(len(own), np.int64)
+            for i in range(len(place)):
+                e = int(ends[i])
+                if ahead[e] - ahead[i] >= max(least, best[0]) * total - 1e-6:
+                    common = np.cumsum(np.where(nth[i:e] - gone[kind[i:e]] < cap[i:e], gain[i:e], 0))
+                    s = common / (stop[i:e] - start[i] + total - common)
+                    j = int(np.argmax(s))
+                    best = max(best, (float(s[j]), int(place[i]), int(place[i + j]) + 1), key=lambda t: (t[0], -t[1], -t[2]))
+                gone[kind[i]] += 1
+        return best
 
     def similarity(self, item: int, x: np.ndarray, w: np.ndarray, start: int, slack: int = 2) -> tuple[float, int, int]:
         """The best weighted Jaccard similarity of an item with a stretch of about its length, and that stretch."""
@@ -154,14 +191,10 @@ class Index:
     def matches(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
         """``(item_id, similarity, first word, words)`` of the items that a text holds, the best place of each."""
         x, w = shingles(text)
-        if not len(x) or not self.groups:
+        if not len(x) or not len(self.keys):
             return []
-        best: dict[int, tuple[float, int, int]] = {}
-        for item, start in sorted(self.candidates(x, w)):
-            s = self.similarity(item, x, w, start)
-            if s[0] >= least and (item not in best or s[0] > best[item][0]):
-                best[item] = s
-        return [(self.items[i][0], s, a, b - a + WIDTH - 1) for i, (s, a, b) in sorted(best.items())]
+        best = ((i, self.best(i, x, w, parts, least)) for i, parts in sorted(self.regions(x, w).items()))
+        return [(self.items[i][0], s, a, b - a + WIDTH - 1) for i, (s, a, b) in best if s >= least and b > a]
 
 
 def _blocks(items: DataFrame, most_items: int, most_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -184,7 +217,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: in
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
     found = None
     for block in _blocks(items, most_items, most_words):
-        index = Index(block, radius)
+        index = Index(block, radius, least)
 
         def look(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -199,7 +232,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: in
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int = 3, most_items: int = 4096, most_words: int = 1_000_000) -> DataFrame:
     """The documents that hold no item, all columns kept; null texts stay."""
     for block in _blocks(items, most_items, most_words):
-        index = Index(block, radius)
+        index = Index(block, radius, least)
 
         def look(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
