@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -10,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of code points other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys are counted in so many hashed bins to see which of them are hot.
+BINS = 1 << 14
+#: Bits of a bitmap of hashed keys: 4 MB.
+FILTER_BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one only where none is set, as in tests."""
+    """A fresh folder under ``spark.checkpoint.dir``; a local one only where none is set and all runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:  # the setting itself cannot be changed in a running session
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="verso-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -46,3 +54,48 @@ def let(value: Column, body) -> Column:
 def count_words(text: Column) -> Column:
     """Words of a text, null counting as empty."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))).cast("long"), F.lit(0).cast("long"))
+
+
+def even_join(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """Join on the column ``key`` of both, where one key may hold much of ``left``.
+
+    Rows of ``left`` are counted by ``BINS`` hashed bins of their key, which
+    bounds what comes to the driver. A bin with more rows than a shuffle
+    partition has on average is dealt by the columns ``by`` to as many tasks as
+    it fills, and the rows of ``right`` in that bin are repeated for each.
+    ``how`` is a join that keeps rows of ``left`` only. ``counted`` has the
+    keys of ``left``, where those are cheaper to read elsewhere.
+    """
+    counted = left if counted is None else counted
+    place = F.pmod(F.xxhash64(key), F.lit(BINS)).cast("int")
+    full = counted.groupBy(place.alias("bin")).agg(F.count("*").alias("n")).filter("n > 256").collect()
+    if not full:
+        return left.join(right, key, how)
+    share = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) / counted.count()
+    parts = [1] * BINS
+    for r in full:
+        parts[r["bin"]] = max(1, math.ceil(r["n"] * share))
+    dealt_to = F.get(F.split(F.lit(",".join(map(str, parts))), ",").cast("array<int>"), place)  # folds to one constant
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*by), dealt_to).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), dealt_to - 1)))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def flagged(rows: DataFrame, wanted: DataFrame, key: str, flag: str = "likely") -> DataFrame:
+    """``rows`` with a column that is true where the key may be in ``wanted``: for all that are, and few others.
+
+    A bitmap of hashed keys goes to all tasks: ``FILTER_BITS`` bits at most,
+    however many keys. When it fills up, more rows are flagged; none is missed.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    piece, word, place = F.floor(bit / 4096).cast("int"), F.pmod(F.shiftright(bit, 6), F.lit(64)).cast("int"), F.pmod(bit, F.lit(64)).cast("int")
+    words = wanted.groupBy(piece.alias("_piece"), word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
+    pieces = words.groupBy("_piece").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"))
+    pieces = pieces.select("_piece", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0).cast("long"))).alias("_bitmap"))
+    is_set = F.coalesce(F.getbit(F.get("_bitmap", word), place) == 1, F.lit(False))
+    return rows.join(F.broadcast(pieces), piece == F.col("_piece"), "left").withColumn(flag, is_set).drop("_piece", "_bitmap")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The flagged rows alone, so that a join with ``wanted`` shuffles less."""
+    return flagged(rows, wanted, key, "_likely").filter("_likely").drop("_likely")

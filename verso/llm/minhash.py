@@ -8,10 +8,11 @@ sets. What is left is confirmed on the full sets.
 
 Texts with equal sets are one node from the start. The nodes of a band bucket
 are compared with one pivot each, first the one that shares most buckets, then
-others; links join components, and a bucket whose nodes are all in one
-component is done. Nodes that are still apart after the rounds are joined by an
-exact prefix filter on their rarest shingles. No bucket is expanded into its
-pairs, and none is cut short.
+others; a pivot that has met all of its bucket leaves it, links join
+components, and a bucket whose nodes are all in one component is done. Nodes
+that are still apart after the rounds are joined by an exact prefix filter on
+their rarest shingles. No bucket is expanded into its pairs, and none is cut
+short. Only nodes whose sketches allow a link have their full sets shuffled.
 """
 
 from __future__ import annotations
@@ -20,18 +21,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verso.llm.common import stored, table
+from verso.llm.common import even_join, flagged, likely, stored, table
 from verso.llm.components import merge
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SKETCH_BITS, SKETCH_LONGS = 1024, 16
-FILTER_BITS = 1 << 25
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -88,52 +88,49 @@ class Sampler:
 
 
 def _describe(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, node, bands, sketch``: node is the digest of the set, null if it is empty.
+    """``docs`` (``doc_id, tie, text``) with ``n, node, bands, sketch`` for the text: node is the digest of the set, null if it is empty.
 
     Of equal sets in one batch only the first has bands and a sketch, so copies add few rows to their buckets.
     """
     sampler = Sampler(bands, rows)
-    schema = "doc_id long, n long, node binary, bands array<long>, sketch array<long>"
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, seen = [], set()
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            n, nodes, keys, sketches, seen = [], [], [], [], set()
+            for text in batch.column(2).to_pylist():
                 x = shingles(text, width)
-                if len(x):
-                    node = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-                    keys, sketch = (None, None) if node in seen else sampler(x)
-                    seen.add(node)
-                    out.append((doc_id, len(x), node, keys, sketch))
-                else:
-                    out.append((doc_id, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "node", "bands", "sketch"]).astype({"doc_id": "Int64"})
+                node = hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None
+                k, s = sampler(x) if node and node not in seen else (None, None)
+                seen.add(node)
+                n.append(len(x))
+                nodes.append(node)
+                keys.append(k)
+                sketches.append(s)
+            longs = pa.list_(pa.int64())
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, longs), pa.array(sketches, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "n", "node", "bands", "sketch"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(look, schema)
+    return docs.mapInArrow(look, f"doc_id {kind}, tie long, n long, node binary, bands array<long>, sketch array<long>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``node, x``: the sets of documents that come with their node."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``node, x``: the sets of the nodes in ``wanted`` (``node, first``), made from the first document of each."""
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "x": [shingles(t, width).view(np.int64) for t in batch["text"]]})
+            sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
+            nodes = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            # of rows equal in doc_id and text one is enough; others of a batch would be repeated in the join
+            first = sorted({(node, a, b): i for i, (node, a, b) in enumerate(zip(nodes, batch.column(0).to_pylist(), batch.column(1).to_pylist()))}.values())
+            columns = [batch.column(0).take(first), batch.column(1).take(first), pa.array([nodes[i] for i in first], pa.binary()), pa.array([sets[i].view(np.int64) for i in first], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "node", "x"])
 
-    return docs.select("node", "text").mapInPandas(look, "node binary, x array<long>")
-
-
-def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows whose key may be in ``wanted``: all that are, and few others, so that a join shuffles less.
-
-    A bitmap of hashed keys goes to all tasks: ``FILTER_BITS`` bits at most,
-    however many keys. When it fills up, more rows pass; none is lost.
-    """
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    pieces = wanted.groupBy(F.bitmap_bucket_number(bit).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
-    place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.getbit(byte, (place % 8).cast("int")) == 1
-    return rows.join(F.broadcast(pieces), F.bitmap_bucket_number(bit) == F.col("piece")).filter(is_set).drop("piece", "bitmap")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    key = F.xxhash64("doc_id", "tie")
+    wanted = wanted.select("node", F.xxhash64("first.doc_id", "first.tie").alias("key"))
+    made = likely(docs.withColumn("key", key), wanted, "key").drop("key").mapInArrow(look, f"doc_id {kind}, tie long, node binary, x array<long>")
+    return made.select(key.alias("key"), "node", "x").join(wanted, ["key", "node"], "left_semi").dropDuplicates(["node"]).select("node", "x")
 
 
 def sketch_distance(a: str, b: str, first: int = 0) -> Column:
@@ -167,20 +164,24 @@ def _can_link(a: str, b: str, na: str, nb: str, percent: int, most: int) -> Colu
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & surely & (sketch_distance(a, b) <= most)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs (a, b) whose sketches are near and whose full sets have the similarity."""
-    side = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
-    near = pairs.join(side[0], "a").join(side[1], "b")
-    near = near.filter(_can_link("sa", "sb", "na", "nb", percent, most)).select("a", "b", "na", "nb")
-    near = stored(near, "near-pairs")
-    full = [sets.select(F.col("node").alias(c), F.col("x").alias(f"x{c}")) for c in "ab"]
-    both = F.size(F.array_intersect("xa", "xb"))
-    checked = near.join(full[0], "a").join(full[1], "b").withColumn("both", both.cast("long"))
-    return checked.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int, most: int) -> DataFrame:
+    """Pairs (pivot, node), as links (a, b), whose sketches are near and whose full sets have the similarity.
+
+    Only nodes of pairs that the sketches allow have their sets made.
+    """
+    side = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("pivot", "node")]
+    near = even_join(pairs.join(side[1], "node"), side[0], "pivot", ("node",), counted=pairs)
+    near = stored(near.filter(_can_link("s_pivot", "s_node", "n_pivot", "n_node", percent, most)).select("pivot", "node", "n_pivot", "n_node"), "near-pairs")
+    ends = near.select("node").union(near.select("pivot")).distinct()
+    sets = stored(_sets(docs, nodes.join(ends, "node").select("node", "first"), width), "near-sets")
+    both = F.size(F.array_intersect("x_pivot", "x_node")).cast("long")
+    full = near.join(sets.withColumnRenamed("x", "x_node"), "node")
+    checked = even_join(full, sets.select(F.col("node").alias("pivot"), F.col("x").alias("x_pivot")), "pivot", ("node",), counted=near).withColumn("both", both)
+    return checked.filter(100 * F.col("both") >= percent * (F.col("n_pivot") + F.col("n_node") - F.col("both"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
 
 
 def _prefix_pairs(apart: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
-    """All pairs (a, b) of different roots in ``node, root, x`` that can have the similarity.
+    """All pairs (pivot, node) of different roots in ``node, root, x`` that can have the similarity.
 
     With shingles ordered from rare to frequent, the smaller of two similar
     sets has one of its first ``n - 2t/(1+t) n`` shingles among the first
@@ -195,75 +196,105 @@ def _prefix_pairs(apart: DataFrame, nodes: DataFrame, percent: int, most: int) -
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
     index = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - 1e-9) + 1
     row = stored(row.filter(F.col("place") <= probe).select("e", "node", "root", "n", (F.col("place") <= index).alias("short")), "near-prefixes")
+    keys = row.select("e")
     row = row.join(nodes.select("node", "sketch"), "node")
     great = row.select("e", F.col("node").alias("p"), F.col("root").alias("rp"), F.col("n").alias("np"), F.col("sketch").alias("sp"))
-    small = row.filter("short").select(F.col("e").alias("f"), F.col("node").alias("q"), F.col("root").alias("rq"), F.col("n").alias("nq"), F.col("sketch").alias("sq"))
-    fits = (F.col("e") == F.col("f")) & (F.col("rp") != F.col("rq")) & ((F.col("nq") < F.col("np")) | ((F.col("nq") == F.col("np")) & (F.col("q") < F.col("p")))) & _can_link("sp", "sq", "np", "nq", percent, most)
-    return great.join(small, fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    small = row.filter("short").select("e", F.col("node").alias("q"), F.col("root").alias("rq"), F.col("n").alias("nq"), F.col("sketch").alias("sq"))
+    fits = (F.col("rp") != F.col("rq")) & ((F.col("nq") < F.col("np")) | ((F.col("nq") == F.col("np")) & (F.col("q") < F.col("p")))) & _can_link("sp", "sq", "np", "nq", percent, most)
+    return even_join(great, small, "e", ("p",), counted=keys).filter(fits).select(F.col("p").alias("pivot"), F.col("q").alias("node")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, pivot_rounds: int = 2) -> DataFrame:
-    """One row a row of ``docs``: ``doc_id, n_shingles, component_id``.
-
-    Texts are linked if 100 times the common shingles are at least ``percent``
-    times all shingles of both; ``component_id`` is the smallest doc_id that
-    can be reached. A pair at the threshold shares no band with a chance of
-    ``(1 - J**rows)**bands``: about 1e-7 by default. Null and empty texts have
-    no shingles and are linked with nothing; repeated rows have equal sets and
-    so one component; an empty table gives an empty result; texts are taken
-    whole and other columns are ignored.
-    """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def components_of(docs: DataFrame, width: int, percent: int, bands: int, rows: int, pivot_rounds: int) -> DataFrame:
+    """``doc_id, tie, n, component`` of documents ``doc_id, tie, text``, where ``component`` is the least
+    struct of null flag, doc_id and tie that can be reached."""
+    docs = docs.select("doc_id", "tie", F.coalesce("text", F.lit("")).alias("text"))
     known = stored(_describe(docs, width, bands, rows), "near-described")
-    reps = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    bucket = known.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    # 64-bit digests of the nodes are enough to see that a bucket holds two of them
-    ends = bucket.withColumn("h", F.xxhash64("node")).groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    member = stored(bucket.join(ends.filter("low != high").select("bucket"), "bucket").select("bucket", "node").distinct(), "near-buckets")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
+    reps = known.filter("node is not null").groupBy("node").agg(F.min(own).alias("first"), F.min("n").alias("n"))
+    bucket = known.select("node", F.explode("bands").alias("bucket"))
+    # small digests, of their own in each bucket, are enough to see that a bucket holds two nodes
+    digest = F.hash("node", "bucket")
+    ends = bucket.select("bucket", digest.alias("h")).groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    shared = stored(ends.filter("low != high").select("bucket"), "near-shared")
+    maybe = stored(likely(bucket, shared, "bucket").distinct(), "near-maybe")
+    member = stored(even_join(maybe, shared, "bucket", ("node",), "left_semi"), "near-buckets")
     wanted = stored(member.select("node").distinct().join(reps, "node"), "near-wanted")
-    label = stored(wanted.select("node", F.col("node").alias("root")), "near-labels")
-    sketches = _likely(known.filter("sketch is not null").select("node", "sketch"), wanted, "node")
-    nodes = stored(wanted.join(sketches, "node").dropDuplicates(["node"]), "near-compared")
-    sets = stored(_sets(_likely(docs, wanted, "doc_id").join(wanted.select("doc_id", "node"), "doc_id").dropDuplicates(["node"]), width), "near-sets")
+    label = wanted.select("node", F.col("node").alias("root"))
+    sketches = likely(known.filter("sketch is not null").select("node", "sketch"), wanted, "node")
+    nodes = stored(wanted.join(sketches.dropDuplicates(["node"]), "node"), "near-compared")
     most = most_distance(bands * rows, percent)
 
-    def open_members(member: DataFrame, label: DataFrame) -> DataFrame:
-        """Members, with their roots, of the buckets that hold more than one component."""
-        rooted = member.join(label, "node")
-        apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
-        return stored(rooted.join(apart, "bucket").select("bucket", "node", "root"), "near-open")
-
-    rooted = member.withColumn("root", F.col("node"))
     # a text that others were copied from shares more buckets with them than they do among each other
     sizes = member.groupBy("bucket").agg(F.count("*").alias("size"))
-    degree = stored(member.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("degree")), "near-degrees")
+    degree = even_join(member, sizes, "bucket", ("node",)).groupBy("node").agg(F.sum("size").alias("degree"))
+    rooted = stored(member.join(degree, "node").select("bucket", "node", F.col("node").alias("root"), (-F.col("degree")).alias("rank")), "near-rooted")
     for turn in range(pivot_rounds):
-        if turn == 0:
-            ranked = rooted.join(degree, "node").withColumn("h", -F.col("degree"))
-        else:
-            ranked = rooted.withColumn("h", F.xxhash64("node", "bucket", F.lit(turn)))
-        pivot = ranked.groupBy("bucket").agg(F.min(F.struct("h", "node", "root")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.root").alias("above"))
-        pairs = rooted.join(pivot, "bucket").filter("root != above").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        label = merge(label, stored(_confirmed(pairs, nodes, sets, percent, most), "near-links"))
-        rooted = open_members(member if turn == 0 else rooted.select("bucket", "node"), label)
+        pivot = rooted.groupBy("bucket").agg(F.min(F.struct("rank", "node", "root")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.root").alias("above"))
+        met = stored(even_join(rooted, pivot, "bucket", ("node",)).filter("node != pivot"), "near-met")
+        pairs = stored(met.filter("root != above").select("pivot", "node").distinct(), "near-asked")
+        label = merge(label, stored(_confirmed(docs, pairs, nodes, width, percent, most), "near-links"))
+        # a pivot has met all of its bucket: the others go on where they are of several components
+        rest = stored(met.select("bucket", "node").join(label, "node"), "near-rest")
+        apart = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+        rooted = stored(even_join(rest, apart, "bucket", ("node",), "left_semi").withColumn("rank", F.xxhash64("node", F.lit(turn))), "near-open")
         if rooted.isEmpty():
             break
     if not rooted.isEmpty():
-        apart = rooted.select("node", "root").distinct().join(sets, "node")
-        label = merge(label, stored(_confirmed(_prefix_pairs(apart, nodes, percent, most), nodes, sets, percent, most), "near-links"))
-    joined = label.join(nodes.select("node", "doc_id"), "node")
-    least = joined.groupBy("root").agg(F.min("doc_id").alias("least"))
-    joined = stored(joined.join(least, "root").select("node", "least"), "near-components")
-    # texts with equal sets: the smallest id of each node, then of its component
-    named = reps.withColumnRenamed("doc_id", "first").join(joined, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    out = known.select("doc_id", "n", "node").join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        apart = stored(rooted.select("node", "root").distinct(), "near-apart")
+        apart = apart.join(_sets(docs, nodes.join(apart, "node", "left_semi").select("node", "first"), width), "node")
+        pairs = stored(_prefix_pairs(apart, nodes, percent, most), "near-asked")
+        label = merge(label, stored(_confirmed(docs, pairs, nodes, width, percent, most), "near-links"))
+    joined = label.join(nodes.select("node", "first"), "node")
+    least = joined.groupBy("root").agg(F.min("first").alias("component"))
+    joined = stored(even_join(joined, least, "root", ("node",), counted=label).select("node", "component"), "near-components")
+    # texts with equal sets: the least of each node, then of its component
+    named = reps.join(joined, "node", "left").select("node", F.coalesce("component", "first").alias("component"))
+    out = even_join(known.filter("node is not null").select("doc_id", "tie", "n", "node"), named, "node", ("doc_id", "tie"), counted=known.filter("node is not null").select("node")).select("doc_id", "tie", "n", "component")
+    return out.unionByName(known.filter("node is null").select("doc_id", "tie", "n", own.alias("component")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, pivot_rounds: int = 2) -> DataFrame:
+    """One row a row of ``docs``: ``doc_id, n_shingles, component_id``.
+
+    Texts are linked if 100 times the common shingles are at least ``percent``
+    times all shingles of both; ``component_id`` is the smallest doc_id that
+    can be reached, null only if all are null. A pair at the threshold shares
+    no band with a chance of ``(1 - J**rows)**bands``: about 1e-7 by default.
+    Null and empty texts have no shingles and are linked with nothing;
+    repeated rows have equal sets and so one component; an empty table gives
+    an empty result; texts are taken whole and other columns are ignored.
+    """
+    found = components_of(docs.select("doc_id", F.lit(0).cast("long").alias("tie"), "text"), width, percent, bands, rows, pivot_rounds)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, pivot_rounds: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id, of equal ids that of
+    the smallest digest of the row. Of rows equal in all columns one stays, whatever their text.
+
+    Texts are not shuffled but for those that may have to go: a bitmap of
+    hashed keys leaves the others where they are. Null and empty texts stay;
+    null ids come last; an empty table stays empty; all columns are kept.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull(), *([F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))] if others else []))
+    keyed = docs.withColumn("_tie", tie).withColumn("_row", F.xxhash64("doc_id", "_tie"))
+    found = components_of(keyed.select("doc_id", F.col("_tie").alias("tie"), "text"), width, percent, bands, rows, pivot_rounds)
+    stays = F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("tie") == F.col("component.tie"))
+    each = found.groupBy("doc_id", "tie").agg(F.min(stays).alias("stays"), F.count("*").alias("rows"))
+    marked = stored(each.filter("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), F.xxhash64("doc_id", "tie").alias("_row"), "stays"), "near-marked")
+    rows_ = flagged(keyed, marked, "_row", "_asked")
+    gone = marked.filter("not stays").select("_row", "_id", "_t")
+    asked = rows_.filter("_asked").dropDuplicates(["_row", "doc_id", "_tie"])
+    asked = asked.join(gone, (asked["_row"] == gone["_row"]) & asked["doc_id"].eqNullSafe(gone["_id"]) & (asked["_tie"] == gone["_t"]), "left_anti")
+    return rows_.filter("not _asked").unionByName(asked).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """Every document with its set size and component; null, empty, repeated and long texts as in ``near_duplicates``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_duplicates(docs, width=3, percent=85, bands=36, rows=6)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 OP7_SQL = r"""
