@@ -11,38 +11,43 @@ that the mix takes of it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from verso.llm.common import stored, table
 from verso.llm.decontaminate import decontaminate
-from verso.llm.minhash import near_duplicates
+from verso.llm.minhash import one_of_each
 from verso.llm.mixing import plan_mix
 from verso.llm.quality import quality_filter
 from verso.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects. Null and empty texts have no words and go; repeated rows are judged
+    alike; very long texts are read whole; an empty table stays empty; all columns are kept."""
     return quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; of repeated rows, one."""
-    found = stored(near_duplicates(docs), "pipeline-near")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = stored(kept.withColumnRenamed("doc_id", "kept_id"), "pipeline-kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return out if kept.filter("rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """One document of each group: the one with the smallest doc_id, of equal ids the one with the smallest digest of
+    the row. Of rows equal in all columns one stays. Null and empty texts are near to nothing and stay; null ids
+    come last; very long texts are compared whole; an empty table stays empty; all columns are kept."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item. Null, empty and shorter than five-word texts hold none and stay;
+    repeated rows are judged alike; very long texts are read whole; empty tables are allowed; all columns are kept."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets blanked in their texts. Null and empty texts stay as they are; repeated rows are treated
+    alike; very long texts are read whole; an empty table stays empty; all columns are kept."""
     return redact_secrets(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a document with the words and copies that the mix takes. Null texts count no words and are never taken;
+    a null source is one of its own, sorted last; repeated rows are documents of their own; an empty table gives no rows."""
     return plan_mix(docs)
 
 
