@@ -1,7 +1,8 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Documents are permuted within their source by a seeded digest and cut into
-about ``sqrt(rows)`` blocks a source, so that no task ever sees a whole source.
+blocks of about ``sqrt(rows)`` documents, so that no task ever sees a whole
+source, and the tree splits no more than ``sqrt(rows)`` blocks and one a source.
 Water-filled word targets decide how many blocks each source gives (a source
 may be passed over twice). A binary tree then splits the exact block quotas of
 all sources among the output shards: at each node half of the remaining blocks
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verso.llm.common import count_words, stored
+from verso.llm.common import count_words, even_join, stored, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -107,9 +108,11 @@ def plan_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     """
     doc = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("draw"))
     doc = stored(doc.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))), "mix-sizes")
-    blocks = max(1, math.ceil(math.sqrt(doc.count())))
+    many = stored(doc.groupBy("skey").agg(F.count("*").alias("rows")), "mix-rows")
+    every = math.sqrt(many.agg(F.sum("rows")).first()[0] or 1)
     spot = F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    doc = doc.withColumn("block", F.floor(spot * blocks).cast("int"))
+    doc = even_join(doc, many.select("skey", F.ceil(F.col("rows") / every).alias("blocks")), "skey", ("draw",))
+    doc = doc.withColumn("block", F.floor(spot * F.col("blocks")).cast("int")).drop("blocks")
     block = doc.groupBy("skey", "block").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     block = stored(block, "mix-blocks")
     sources = block.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
@@ -133,9 +136,10 @@ def plan_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     def copy_of(i: int, limit: str) -> Column:
         return F.struct(F.lit(i).alias("pass"), words_of(limit).alias("words"), F.col(f"shard_{i}").alias("shard"), F.xxhash64(F.lit(seed), F.lit(i), "draw").alias("place"))
 
-    copies = F.filter(F.array(copy_of(1, "first"), copy_of(2, "second")), lambda c: c["words"] > 0)
-    doc = doc.withColumn("copies", copies)
-    return doc.select("doc_id", "size", "source", "source_size", "target", (words_of("first") + words_of("second")).alias("taken"), "copies")
+    # what no shard has drawn is not in the mix
+    copies = F.filter(F.array(copy_of(1, "first"), copy_of(2, "second")), lambda c: (c["words"] > 0) & c["shard"].isNotNull())
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
+    return doc.withColumn("copies", copies).select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "copies")
 
 
 def mixed_rows(plan: DataFrame) -> DataFrame:
@@ -145,8 +149,7 @@ def mixed_rows(plan: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    from verso.llm.common import table
-
+    """What the shards of the mix draw of every document; null texts and sources, repeated rows and empty tables as in ``plan_mix``."""
     return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
