@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +41,10 @@ TAGS = B, I, O = 0, 1, 2
 _NAMES = re.compile(r"(?i)pass|secret|token|key|credential|auth|bearer|private")
 _PLAIN = re.compile(r"[A-Za-z\x80-\U0010ffff][a-z\x80-\U0010ffff]*\.?")
 _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk[_-]|pk_|xox[abp]-|eyJ|AIza|glpat-")
-N_TYPE, N_DOC = 20, 3
+_UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: Words, numbers and numbered words, joined by signs or by capitals: names of files, versions and identifiers.
+_COMPOSED = re.compile(r"[/._-]*([A-Z]?[a-z]{2,}\d{0,4}|[A-Z]{2,}|v?\d{1,8}|[a-z])([/._-]+([A-Z]?[a-z]+\d{0,4}|[A-Z]+|v?\d{1,8})|[A-Z][a-z]+\d{0,4})+[/._-]*")
+N_TYPE, N_DOC = 24, 3
 
 
 def shape(token: str) -> list[float]:
@@ -75,6 +78,10 @@ def shape(token: str) -> list[float]:
         float(_NAMES.search(token) is not None),
         float(_PREFIX.match(token) is not None),
         float(digits == 0 and upper <= 1 and word),
+        float(_UUID.fullmatch(token) is not None),
+        float(_COMPOSED.fullmatch(token) is not None),
+        float(token.startswith("//")),
+        float(token == "@"),
     ]
 
 
@@ -180,9 +187,21 @@ def example_lines(words: list[str], count: int = 1200, seed: int = 11) -> list[t
     def value() -> str:
         return rng.choice((lambda: draw(hexa, 18, 48), lambda: draw(mixed, 16, 48), lambda: "AKIA" + draw(upper, 16, 16), lambda: rng.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + draw(mixed, 20, 36), lambda: draw(mixed + "+/", 24, 44)))()
 
+    def short() -> str:
+        """A value that only its surroundings give away."""
+        return rng.choice((lambda: draw(mixed, 6, 15), lambda: (rng.choice(words) + str(rng.randint(1, 999)) + rng.choice(words)).lower().replace(",", "").replace(".", "")))()
+
     def plain() -> str:
         return rng.choice(
             (
+                lambda: "-".join("".join(rng.choice(hexa) for _ in range(n)) for n in (8, 4, 4, 4, 12)),
+                lambda: "".join(rng.choice(words).title() for _ in range(rng.randint(3, 5))).replace(",", "").replace(".", "") + str(rng.randint(1, 999)),
+                lambda: f"{rng.choice(words).lower()}_20{rng.randint(10, 30)}_{rng.choice(words).lower()}_v{rng.randint(1, 9)}.{rng.choice(('pdf', 'csv', 'py', 'tar.gz'))}",
+                lambda: f"/{rng.choice(words).lower()}/{rng.choice(words).lower()}{rng.randint(1, 99)}/{rng.choice(words).lower()}.{rng.choice(('txt', 'html', 'log'))}",
+                lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}-{rng.choice(('beta', 'rc'))}{rng.randint(1, 9)}",
+                lambda: f"{rng.choice(words)[:3].upper()}{rng.randint(1, 999)} {rng.choice('ABCDE')}{rng.randint(1, 99)} {rng.randint(1, 12)}th {rng.randint(1, 99)}kg",
+                lambda: f"{rng.choice(('the password', 'this token', 'a key', 'my secret'))} is {rng.choice(words)} {rng.choice(words)}",
+                lambda: f"https://{rng.choice(words).lower()}:{rng.randint(80, 9999)}/{rng.choice(words).lower()}",
                 lambda: str(rng.randint(0, 99999)),
                 lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}",
                 lambda: f"https://{rng.choice(words).lower()}.example.com/{rng.choice(words).lower()}/{rng.randint(1, 999)}",
@@ -211,7 +230,15 @@ def example_lines(words: list[str], count: int = 1200, seed: int = 11) -> list[t
 
         for _ in range(rng.randint(1, 3)):
             add(" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))))
-            if i % 2 == 0:
+            if i % 4 == 0 and rng.random() < 0.5:
+                if rng.random() < 0.35:
+                    add(rng.choice(("postgres", "https", "mysql", "ftp", "redis")) + "://" + rng.choice(("admin", "root", rng.choice(words).lower())) + ":")
+                    add(short(), True)
+                    add("@" + rng.choice(words).lower() + ".example.com")
+                else:
+                    add(rng.choice(("db.pass =", "token is", "the password is", "password", "passwd :", "secret key:", "auth_token=", "credential :=", "pass:", "private key is")))
+                    add(short(), True)
+            elif i % 2 == 0:
                 q = rng.choice(("", "", '"', "'"))
                 add(rng.choice(("", "key", "auth_token", "Authorization", "client_secret", "credential", "private key", "Bearer", "db.pass", "api-key")) + rng.choice((" = ", ": ", "=", " ", " := ")) + q)
                 add(value(), True)
@@ -303,18 +330,23 @@ class Tagger:
                 out[-1] = (out[-1][0], m.end(), "field")
             elif tag != O:
                 out.append((m.start(), m.end(), "field"))
-        return [s for s in out if s[1] - s[0] >= 12]
+        return out
 
 
 def all_spans(text: str, tagger: Tagger) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and these with the spans of the field that touch none of them."""
+    """Base spans, and these with the spans of the field that lie in none of them."""
     base = base_spans(text)
-    more = [s for s in tagger.spans(text) if all(s[1] <= b[0] or s[0] >= b[1] for b in base)]
+    more = [s for s in tagger.spans(text) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS[s[2]]))
 
 
 def fit(docs: DataFrame, sample_rows: int = 200, words_per_row: int = 40) -> Field:
-    """A field trained on generated lines whose filler is from at most ``sample_rows`` texts, chosen by the digest of their id."""
+    """A field trained on generated lines.
+
+    Their filler is the first ``words_per_row`` words within the first 2,000
+    code points of at most ``sample_rows`` texts, chosen by the digest of
+    their id; these bound the sample of training words and nothing else.
+    """
     ids = [r[0] for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
     rows = docs.filter(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, 2000).alias("text")).orderBy("doc_id", "text").limit(sample_rows).collect()
     words = [w for r in rows for w in re.findall(r"[^\W\d_]+[.,]?", r["text"])[:words_per_row]]
@@ -328,26 +360,29 @@ def scan_secrets(docs: DataFrame, model: Field | None = None) -> DataFrame:
     are scanned whole. Other columns are ignored.
     """
     model = model or fit(docs)
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def show(spans: list[tuple[int, int, str]]) -> str:
         return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                base, spans = all_spans(text or "", tagger)
-                kinds = [k for _, _, k in base]
-                out.append((doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(show(base).encode()).hexdigest(), show(spans)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+            found = [all_spans(text, tagger) for text in batch.column(1).to_pylist()]
+            kinds = [[k for _, _, k in base] for base, _ in found]
+            columns = [pa.array([k.count(name) for k in kinds], pa.int64()) for name in ("assign", "access", "hex")]
+            columns += [pa.array([hashlib.sha256(show(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([show(spans) for _, spans in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(look, schema)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame, model: Field | None = None, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every found span replaced by ``mark``; all columns and rows stay, null texts too."""
+    """``docs`` with every found span replaced by ``mark``, spans that overlap by one.
+
+    All columns and rows stay; null and empty texts are as before; repeated
+    rows are treated alike; texts are read whole; an empty table stays empty.
+    """
     model = model or fit(docs)
     schema = docs.schema
 
@@ -360,9 +395,7 @@ def redact_secrets(docs: DataFrame, model: Field | None = None, mark: str = "[se
             at = max(at, b)
         return "".join(out) + text[at:] if spans else text
 
-    def look(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for batch in batches:
             at = batch.schema.get_field_index("text")
@@ -373,4 +406,5 @@ def redact_secrets(docs: DataFrame, model: Field | None = None, mark: str = "[se
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
+    """Spans of every document; null, empty, repeated and long texts and empty tables as in ``scan_secrets``."""
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
