@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +50,40 @@ TEMPLATES = {
         [[or at your option any later version]]""",
     "lgpl-notice": """under the terms of the gnu lesser general public license as published by the free software
         foundation""",
-    "spdx-tag": "spdx license identifier {{1..4}}",
+    "agpl-notice": """under the terms of the gnu affero general public license as published by the free software
+        foundation""",
+    "gpl-disclaimer": """this program is distributed in the hope that it will be useful but without any warranty without even the
+        implied warranty of merchantability or fitness for a particular purpose see the gnu [[affero]] [[lesser]] general
+        public license for more details""",
+    "apache-2.0-disclaimer": """unless required by applicable law or agreed to in writing software distributed under the
+        license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+        see the license for the specific language governing permissions and limitations under the license""",
+    "mit-disclaimer": """the software is provided as is without warranty of any kind express or implied including but not
+        limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event
+        shall the {{1..8}} be liable for any claim damages or other liability whether in an action of contract tort or
+        otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+    "bsd-disclaimer": """this software is provided by {{1..12}} as is and any express or implied warranties including but not
+        limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed""",
+    "mpl-2.0-notice": """this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of
+        the mpl was not distributed with this file you can obtain one at]]""",
+    "unlicense": """this is free and unencumbered software released into the public domain [[anyone is free to copy modify
+        publish use compile sell or distribute this software either in source code form or as a compiled binary for any
+        purpose commercial or non commercial and by any means]]""",
+    "bsl-1.0": """permission is hereby granted free of charge to any person or organization obtaining a copy of the software
+        and accompanying documentation covered by this license the software to use reproduce display distribute execute
+        and transmit the software and to prepare derivative works of the software and to permit third parties to whom the
+        software is furnished to do so""",
+    "zlib-text": """this software is provided as is without any express or implied warranty in no event will the {{1..4}} be
+        held liable for any damages arising from the use of this software permission is granted to anyone to use this
+        software for any purpose including commercial applications and to alter it and redistribute it freely""",
+    "cc-notice": """creative commons attribution [[noncommercial]] [[sharealike]] [[noderivatives]] {{0..2}} [[international]]
+        [[public]] license""",
+    "spdx-tag": "spdx license identifier {{1..1}}",
+    "spdx-mit": "spdx license identifier mit",
+    "spdx-apache-2.0": "spdx license identifier apache 2 0",
+    "spdx-gpl": "spdx license identifier gpl [[2]] [[3]] [[0]] [[only]] [[or later]]",
+    "spdx-bsd": "spdx license identifier bsd {{1..1}} clause",
+    "spdx-mpl-2.0": "spdx license identifier mpl 2 0",
     "mit-notice": "under the [[terms of the]] mit license",
     "apache-notice": "under the [[terms of the]] apache license [[version]] [[2]] [[0]]",
     "gpl-short-notice": "under the [[terms of the]] [[gnu]] general public license [[version]] [[2]] [[3]]",
@@ -130,7 +163,11 @@ def compile_template(label: str, markup: str) -> Automaton:
 
 
 def scan(words: list[str], automata: list[Automaton]) -> tuple[list[tuple[int, int]], set[str], list[tuple[int, int]], set[str]]:
-    """Phrase places and labels, template places and labels of a text."""
+    """Phrase places and labels, template places and labels of a text.
+
+    A template that is accepted inside a longer accepted one, as the opening
+    of a longer license, counts as part of that.
+    """
     at: dict[str, list[int]] = {}
     wanted = {p.split()[0] for p, _ in PHRASES} | {a.opening[0] for a in automata}
     for i, w in enumerate(words):
@@ -143,12 +180,17 @@ def scan(words: list[str], automata: list[Automaton]) -> tuple[list[tuple[int, i
             if words[i : i + len(parts)] == parts:
                 base.append((i, i + len(parts)))
                 labels.add(label)
-    more, found = [], set()
+    accepted = []
     for a in automata:
         for i in at.get(a.opening[0], ()):
             if tuple(words[i : i + len(a.opening)]) == a.opening and (end := a.match(words, i)) >= 0:
-                more.append((i, end))
-                found.add(a.label)
+                accepted.append((i, -end, a.label))
+    more, found, reach, begin = [], set(), -1, -1
+    for i, end, label in sorted(accepted):  # in order of the start, the longest first
+        if -end > reach or (i, -end) == (begin, reach):
+            more.append((i, -end))
+            found.add(label)
+            begin, reach = i, max(reach, -end)
     return base, labels, more, found
 
 
@@ -167,24 +209,27 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     text = F.coalesce(F.col("text"), F.lit(""))
     count = F.size(F.regexp_extract_all(text, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))).cast("long")
     row = docs.select("doc_id", count.alias("n_words"), F.when(text.rlike(either), text).alias("text"))
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    names = [c.split()[0] for c in schema.split(", ")]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.float64()]
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, n, text in zip(batch["doc_id"], batch["n_words"], batch["text"]):
-                words = words_of(text) if isinstance(text, str) else []  # null: no word that any of them needs
+            for text in batch.column(2).to_pylist():
+                words = words_of(text) if text is not None else []  # null: no word that any of them needs
                 base, labels, more, found = scan(words, automata)
                 covered: set[int] = set()
                 for a, b in base + more:
                     covered.update(range(a, b))
                 starts = [a for a, _ in base]
-                out.append((doc_id, n, len(base), min(starts) if starts else None, max(starts) if starts else None, ",".join(sorted(labels)), ",".join(sorted(labels | found)), len(covered) / len(words) if words else 0.0))
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+                out.append((len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | found)), len(covered) / len(words) if words else 0.0))
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], [c.split()[0] for c in schema.split(", ")])
 
-    return row.mapInPandas(look, schema)
+    return row.mapInArrow(look, schema)
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
+    """Phrases and templates of every document; null, empty, repeated and long texts and empty tables as in ``scan_licenses``."""
     return scan_licenses(table(spark, sf_dir, "documents"))
