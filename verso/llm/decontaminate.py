@@ -16,11 +16,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from verso.llm.common import count_words, table
 
@@ -212,19 +212,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: in
     Items go to the executors in blocks of bounded size, a pass over the
     documents for each. Null, empty and shorter than five-word texts and items
     hold and match nothing; repeated documents and items give repeated rows;
-    empty tables give none; texts are read whole.
+    empty tables give none; texts are read whole; other columns are ignored,
+    whatever their names.
     """
-    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+    kinds = [f.schema[c].dataType.simpleString() for f, c in ((docs, "doc_id"), (items, "item_id"))]
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word long, n_words long"
     found = None
     for block in _blocks(items, most_items, most_words):
         index = Index(block, radius, least)
+        index.id_type = to_arrow_type(items.schema["item_id"].dataType)
 
-        def look(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
+        def look(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"]) for m in index.matches(t, least)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                rows = [(i, *m) for i, t in enumerate(batch.column(1).to_pylist()) for m in index.matches(t, least)]
+                columns = list(zip(*rows)) or [()] * 5
+                values = [pa.array(c, k) for c, k in zip(columns[1:], (index.id_type, pa.float64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *values], [c.split()[0] for c in schema.split(", ")])
 
-        part = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(look, schema)
+        part = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -244,4 +249,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, radius:
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
+    """The items that each document holds; null, empty, repeated and long texts and empty tables as in ``find_leaks``."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
