@@ -99,3 +99,12 @@ def flagged(rows: DataFrame, wanted: DataFrame, key: str, flag: str = "likely")
 def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The flagged rows alone, so that a join with ``wanted`` shuffles less."""
     return flagged(rows, wanted, key, "_likely").filter("_likely").drop("_likely")
+
+
+def with_few(rows: DataFrame, few: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:
+    """Left join of ``rows`` with a table that has few of their keys, each once: rows of other keys are not shuffled."""
+    seen = flagged(rows, few, key, "_seen")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema if f.name != key]
+    names = [*rows.columns, *(c for c in few.columns if c != key)]
+    found = even_join(seen.filter("_seen").drop("_seen"), few, key, by, "left", counted=likely(rows.select(key), few, key))
+    return seen.filter("not _seen").select(*rows.columns, *rest).unionByName(found.select(*names))
