@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verso.llm.common import discard, shared_dir, stored, table
+from verso.llm.common import discard, shared_dir, stored, table, with_few
 
 PREFIX = 64
 CHUNK = 1 << 20
@@ -254,12 +255,13 @@ def _runs(doc: np.ndarray, place: np.ndarray, length: int) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc[first], "start": place[first], "end": place[last] + length})
 
 
-def _partial(contexts: DataFrame, many: DataFrame, length: int, flush_rows: int) -> DataFrame:
+def _partial(contexts: DataFrame, many: DataFrame, length: int, whole_groups: int) -> DataFrame:
     """``doc, start, end`` of windows of contexts that stand in another context of the same prefix, or twice in one.
 
     Contexts come sorted by prefix and are compared in whole groups. Prefixes
-    with more than ``flush_rows`` contexts (``many``) have their windows
-    counted by fingerprint instead, so that no task holds such a group.
+    with more than ``whole_groups`` contexts (``many``) have their windows
+    counted by fingerprint instead, so that no task holds such a group: one of
+    fewer takes at most some 30 MB, as a context has less than 400 bytes.
     """
     schema = "doc long, start int, end int"
 
@@ -273,10 +275,9 @@ def _partial(contexts: DataFrame, many: DataFrame, length: int, flush_rows: int)
             return _runs(rows["doc"].to_numpy(np.int64)[row[twice]], place[twice], length) if twice.any() else pd.DataFrame({"doc": [], "start": [], "end": []}).astype("int64")
 
         for batch in batches:
-            held = pd.concat([held, batch], ignore_index=True)
-            if len(held) > 4096:
-                last = held["key"].iloc[-1]
-                ready = held["key"] != last
+            for at in range(0, len(batch), whole_groups):
+                held = pd.concat([held, batch.iloc[at : at + whole_groups]], ignore_index=True)
+                ready = held["key"] != held["key"].iloc[-1]
                 if ready.any():
                     yield done(held[ready])
                     held = held[~ready].reset_index(drop=True)
@@ -285,9 +286,10 @@ def _partial(contexts: DataFrame, many: DataFrame, length: int, flush_rows: int)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                prints, row, place = _windows_of(batch, length)
-                yield pd.DataFrame({"print": prints.view(np.int64), "doc": batch["doc"].to_numpy(np.int64)[row], "start": place})
+            for at in range(0, len(batch), whole_groups):
+                part = batch.iloc[at : at + whole_groups]
+                prints, row, place = _windows_of(part, length)
+                yield pd.DataFrame({"print": prints.view(np.int64), "doc": part["doc"].to_numpy(np.int64)[row], "start": place})
 
     few = contexts.join(many, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInPandas(compare, schema)
     window = contexts.join(many, "key", "left_semi").mapInPandas(spread, "print long, doc long, start int")
@@ -295,7 +297,7 @@ def _partial(contexts: DataFrame, many: DataFrame, length: int, flush_rows: int)
     return few.unionByName(window.join(again, "print", "left_semi").select("doc", "start", (F.col("start") + length).alias("end")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 3, flush_rows: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 3, whole_groups: int = 1024) -> DataFrame:
     """Every row of ``docs`` with ``doc_id, n_bytes, n_removed, n_spans, kept`` (kept: the remaining bytes).
 
     A byte goes if it is in a string of ``length`` bytes that also starts
@@ -308,10 +310,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 3, flush_r
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    row = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"))
-    copies = row.groupBy("doc", "n_bytes").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").drop("n")
+    row = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("doc"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    copies = row.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").drop("n")
     copies = stored(copies, "suffix-copies")
-    marked = row.join(copies, ["doc", "n_bytes"], "left")
+    marked = with_few(row, copies, "digest", ("doc_id",))
     # one text of each group of copies is indexed, and gives contexts to others
     base = marked.filter("first_id is null or (doc_id <=> first_id)").select("doc", "text")
     index = SuffixIndex(spark, length)
@@ -319,33 +321,34 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 3, flush_r
         index.add(base.filter(F.pmod("doc", F.lit(batches)) == i))
     whole, some = index.matches()
     index.close()
-    many = stored(some.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > flush_rows).select("key"), "suffix-many")
-    partial = _partial(_contexts(base, some, length), many, length, flush_rows)
+    many = stored(some.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > whole_groups).select("key"), "suffix-many")
+    partial = _partial(_contexts(base, some, length), many, length, whole_groups)
     ranges = whole.unionByName(partial).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, value, ranges in zip(batch["doc_id"], batch["text"], batch["ranges"]):
+            for value, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = value.encode()
                 kept, at, removed, spans = [], 0, 0, 0
                 end = -1
-                for r in sorted((r["start"], r["end"]) for r in (ranges if ranges is not None else ())):
-                    if r[0] > end:
+                for begin, stop in sorted((r["start"], r["end"]) for r in ranges or ()):
+                    if begin > end:
                         spans += 1
-                        kept.append(data[at : r[0]])
-                        removed += r[1] - r[0]
-                        at = end = r[1]
-                    elif r[1] > end:
-                        removed += r[1] - end
-                        at = end = r[1]
+                        kept.append(data[at:begin])
+                        removed += stop - begin
+                        at = end = stop
+                    elif stop > end:
+                        removed += stop - end
+                        at = end = stop
                 kept.append(data[at:])
-                out.append((doc_id, len(data), removed, spans, b"".join(kept)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+                out.append((len(data), removed, spans, b"".join(kept)))
+            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     alone = (F.col("first_id").isNull()) & (F.col("n_bytes") >= length)
-    cut_rows = marked.filter(alone).select("doc", "doc_id", "text").join(ranges, "doc", "left").mapInPandas(cut, schema)
+    cut_rows = marked.filter(alone).select("doc", "doc_id", "text").join(ranges, "doc", "left").select("doc_id", "text", "ranges").mapInArrow(cut, schema)
     gone = (F.col("first_id").isNotNull()) & (F.col("n_bytes") >= length)
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     rest = marked.filter(~alone).select("doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(zero).alias("n_removed"), F.when(gone, one).otherwise(zero).alias("n_spans"), F.when(gone, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"))
@@ -353,6 +356,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 3, flush_r
 
 
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:
+    """What is left of every document; null, empty, repeated and long texts and empty tables as in ``remove_repeats``."""
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
