@@ -148,6 +148,23 @@ def test_passages_whose_seeds_lead_to_third_texts(spark):
 # op3 ------------------------------------------------------------------------------------------------
 
 
+def test_recall_of_edited_passages(spark):
+    """Passages of 60 to 160 words with as many scattered edits as similarity 0.8 allows."""
+    rng, rows, want = random.Random(21), [], set()
+    for i in range(120):
+        n = rng.randint(60, 160)
+        p = prose(n, rng).split()
+        q = list(p)
+        for k in rng.sample(range(n), rng.randint(1, 3)):
+            q[k] = "edited%d" % rng.randrange(99)
+        x, y = (collections.Counter(tuple(v[k : k + 5]) for k in range(n - 4)) for v in (p, q))
+        if sum((x & y).values()) >= 0.8 * sum((x | y).values()):
+            want.add(i)
+        rows += [(2 * i, prose(30, rng) + " " + " ".join(p) + " " + prose(20, rng), "s"), (2 * i + 1, prose(9, rng) + " " + " ".join(q) + " " + prose(40, rng), "s")]
+    got = {r["doc_id"] // 2 for r in chains.fuzzy_passages(table(spark, rows)).collect()}
+    assert len(want & got) >= 0.95 * len(want) and len(want) > 60
+
+
 def test_templates():
     a = licenses.compile_template("t", "use of {{1..2}} is [[hereby kindly]] granted")
     for text, good in (("use of it is granted", True), ("use of it all is hereby kindly granted", True), ("use of is granted", False), ("use of a b c is granted", False), ("use of it is kindly granted", False), ("use of it is granted not", True)):
@@ -323,7 +340,7 @@ def test_repeats_against_all_windows(spark, odd, empty):
     rows += [(100, "a" * 1000), (101, "ab" * 400), (102, "a" * 199), (103, None), (104, ""), (105, "q" * 201), (106, base[:199]), (107, base[:200]), (107, base[:200])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(suffixes.brute_force(rows))
-    assert removed(df) == want and removed(df, flush_rows=5, batches=5) == want
+    assert removed(df) == want and removed(df, whole_groups=5, batches=5) == want
     plain = [(-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in odd.collect()]
     assert removed(odd) == sorted(suffixes.brute_force(plain)) and removed(empty) == []
 
