@@ -2,11 +2,14 @@ import datetime
 import io
 import zipfile
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from verso.functions import text as T
 from verso.functions.patterns import REDACTED
+from verso.operators.index import KeywordIndex
 from verso.operators import answering, chunking, evaluation, fusion, guardrails, lexical, models, planner, predicates, registry, sessions, vector
 from verso.sources import files
 
@@ -42,6 +45,41 @@ def test_bm25_by_hand_and_filters(spark):
     assert only == 0
 
 
+def test_stored_index_is_built_skipped_and_swapped(spark, tmp_path):
+    rows = [("c1", "mã status_code 404", "d1", ""), ("c2", "quy định 404", "d1", "hr"), ("c3", "quy định khác", "d2", "Phong Ke Toan")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, doc_id string, department string").withColumns({"document_status": F.lit("x"), "document_type": F.lit("")})
+    q = spark.createDataFrame([(1, "quy định 404"), (2, "không_có")], "query_id int, question string")
+    index = KeywordIndex(spark, f"file://{tmp_path}/index")
+    with pytest.raises(RuntimeError):
+        index.search(q)
+    assert index.refresh(chunks) and not index.refresh(chunks) and index.current()["version"] == 1
+    want = {tuple(r) for r in lexical.search(chunks, q).collect()}
+    assert {tuple(r) for r in index.search(q).collect()} == want and len(want) == 3
+    users = spark.createDataFrame([(1, "quy định 404", "hr", False), (2, "quy định 404", None, False), (3, "quy định 404", "x", True)], "query_id int, question string, user_department string, is_admin boolean")
+    for found in (index.search(users), lexical.search(chunks, users)):
+        seen = {}
+        for r in found.collect():
+            seen.setdefault(r["query_id"], set()).add(r["chunk_id"])
+        assert seen == {1: {"c1", "c2"}, 2: {"c1"}, 3: {"c1", "c2", "c3"}}
+    assert {r["chunk_id"] for r in index.search(q, keep=predicates.metadata({"doc_id": "d2"})).collect()} == {"c3"}
+    moved = chunks.withColumn("department", F.when(F.col("chunk_id") == "c1", "Phong Ke Toan").otherwise(F.col("department")))
+    assert index.refresh(moved) and index.current()["version"] == 2
+    assert {r["chunk_id"] for r in index.search(users.filter("query_id = 2")).collect()} == set()
+    grown = moved.unionByName(moved.limit(1).withColumn("chunk_id", F.lit("c9")))
+    assert index.refresh(grown) and index.current()["n"] == 4
+
+
+def test_vector_blocks_against_the_column_form(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], rng.choice(["", "hr", "it"])) for i in range(300)] + [(900, [0.0] * 6, ""), (901, None, ""), (902, [1.0], "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>, department string").repartition(5)
+    q = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(6)], rng.choice(["hr", "it", None]), i % 4 == 0) for i in range(9)], "query_id int, query_vector array<float>, user_department string, is_admin boolean")
+    pairs = chunks.filter("size(embedding) = 6").crossJoin(q).filter(predicates.readable(F.col("user_department"), F.col("is_admin")))
+    pairs = pairs.withColumn("vector_score", vector.cosine(F.col("embedding"), F.col("query_vector"))).filter("vector_score is not null")
+    want = {(r["query_id"], r["chunk_id"], r["vector_rank"]) for r in lexical.top(pairs, 7, "vector_score", "vector_rank").collect()}
+    assert {(r["query_id"], r["chunk_id"], r["vector_rank"]) for r in vector.search(chunks, q, 7, block=4).collect()} == want
+
+
 def test_rrf_order_and_ranks(spark):
     v = spark.createDataFrame([(1, "A", 0.9, 1), (1, "B", 0.5, 2)], "query_id int, chunk_id string, vector_score double, vector_rank int")
     b = spark.createDataFrame([(1, "B", 5.0, 1), (1, "C", 3.0, 2)], "query_id int, chunk_id string, bm25_score double, bm25_rank int")
@@ -170,6 +208,16 @@ def test_answers_reach_every_finish_reason(spark):
     assert got == {1: "STOP", 2: "NO_DOC", 3: "STOP", 4: "EMPTY_DOC", 5: "BLOCKED", 6: "NO_DOCS"}
 
 
+def test_answers_keep_to_what_the_user_may_read(spark):
+    chunks = spark.createDataFrame([("c1", 1, 1, 0, "mức bồi thường thiệt hại", [1.0, 0.0], "hr"), ("c2", 2, 1, 0, "mức bồi thường khác", [0.9, 0.1], "")], "chunk_id string, doc_id int, page_num int, chunk_index int, text string, embedding array<float>, department string")
+    asked = [(1, "mức bồi thường thiệt hại là gì", [1.0, 0.0], None, "hr", False), (2, "mức bồi thường thiệt hại là gì", [1.0, 0.0], None, "it", False), (3, "tóm tắt", None, 1, "it", False), (4, "tóm tắt", None, 1, "it", True), (5, "tóm tắt", None, 1, "hr", None)]
+    q = spark.createDataFrame([(*x[:4], False, *x[4:]) for x in asked], "query_id int, question string, query_vector array<float>, doc_id int, has_history boolean, user_department string, is_admin boolean")
+    got = {r["query_id"]: (r["finish_reason"], {s["doc_id"] for s in r["sources"] or []}) for r in answering.answer(q, chunks).collect()}
+    assert got == {1: ("STOP", {1, 2}), 2: ("STOP", {2}), 3: ("EMPTY_DOC", set()), 4: ("STOP", {1}), 5: ("STOP", {1})}
+    unknown = {r["query_id"]: {s["doc_id"] for s in r["sources"] or []} for r in answering.answer(q.drop("user_department", "is_admin"), chunks).collect()}
+    assert unknown == {1: {2}, 2: {2}, 3: set(), 4: set(), 5: set()}
+
+
 def test_stand_in_embedder(spark):
     v = one(spark, a=models.embed(F.lit("một hai ba")), b=models.embed(F.lit("")))
     assert sum(x * x for x in v["a"]) == pytest.approx(1.0, abs=1e-5) and not any(v["b"])

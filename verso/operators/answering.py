@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from verso.operators import fusion
 from verso.operators.guardrails import input_reason, sanitize, unverified
-from verso.operators.lexical import top
+from verso.operators.index import KeywordIndex
 from verso.operators.models import extractive_answer, overlap_score
 from verso.operators.planner import fast_path
+from verso.operators.predicates import readable
 
 
 def rerank(found: DataFrame, prior: str, k: int = 3, score: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
@@ -44,19 +45,30 @@ def contexts(found: DataFrame, rank: str, separator: str = "\n\n") -> DataFrame:
     return listed.select("query_id", F.array_join(F.transform("s", lambda x: x["t"]), separator).alias("context"))
 
 
-def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", generate: Callable[[Column, Column], Column] = extractive_answer) -> DataFrame:
+def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", generate: Callable[[Column, Column], Column] = extractive_answer, keep: Column | None = None, index: KeywordIndex | None = None) -> DataFrame:
     """``query_id, reason, query_type, answer, finish_reason, sources, unverified_citations`` of every question.
 
-    ``questions`` has ``query_id, question, query_vector, doc_id, has_history``.
+    ``questions`` has ``query_id, question, query_vector, doc_id, has_history``
+    and the user's ``user_department, is_admin``; without these the user is
+    unknown and sees open chunks alone. ``keep`` filters chunks. What a user
+    may not read is as if it were not there, on every path.
     Blocked questions end with their reason; a summary without a document is
     NO_DOC, one of a document without chunks EMPTY_DOC, a question without hits
     NO_DOCS.
     """
+    if "user_department" not in questions.columns:
+        questions = questions.withColumns({"user_department": F.lit(None).cast("string"), "is_admin": F.lit(False)})
+    if "department" not in chunks.columns:
+        chunks = chunks.withColumn("department", F.lit(""))
     q = questions.withColumn("reason", input_reason(F.col("question"))).withColumn("plan", fast_path(F.col("question"), F.coalesce("has_history", F.lit(False)))).withColumn("query_type", F.coalesce("plan.query_type", F.lit("simple")))
     open_ = q.filter("reason is null")
     summary, asked = open_.filter("plan.bypass_retrieval"), open_.filter("not plan.bypass_retrieval")
-    ours = first_chunks(chunks, summary.filter("doc_id is not null").select("query_id", "doc_id")).select("query_id", "chunk_id", "doc_id", "page_num", "text", F.col("place").alias("rank"))
-    hits = fusion.retrieve(strategy, chunks, asked)
+    told_of = summary.filter("doc_id is not null").select("query_id", "doc_id", "user_department", "is_admin")
+    mine = chunks if keep is None else chunks.filter(keep)
+    seen = told_of.join(mine, "doc_id").filter(readable(F.col("user_department"), F.col("is_admin")))
+    place = W.partitionBy("query_id", "doc_id").orderBy("chunk_index", "page_num")
+    ours = seen.withColumn("place", F.row_number().over(place)).filter("place <= 10").select("query_id", "chunk_id", "doc_id", "page_num", "text", F.col("place").alias("rank"))
+    hits = fusion.retrieve(strategy, chunks, asked, keep=keep, index=index)
     rank = "fusion_rank" if strategy == "hybrid" else "vector_rank"
     hits = hits.select("query_id", "chunk_id", F.col(rank).alias("prior")).join(chunks, "chunk_id").join(asked.select("query_id", "question"), "query_id")
     theirs = rerank(hits, "prior").select("query_id", "chunk_id", "doc_id", "page_num", "text", F.col("rerank_rank").alias("rank"))
@@ -72,7 +84,3 @@ def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", ge
     told = told.withColumn("finish_reason", end).withColumn("answer", F.when(F.col("finish_reason") == "STOP", generate(F.col("question"), F.col("context"))))
     return told.select("query_id", "reason", "query_type", "answer", "finish_reason", "sources", unverified(F.col("answer"), F.col("context")).alias("unverified_citations"))
 
-
-def best(found: DataFrame, score: str, k: int) -> DataFrame:
-    """The best ``k`` rows of each question."""
-    return top(found, k, score, "rank")

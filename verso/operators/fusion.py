@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verso.operators import lexical, vector
+from verso.operators.index import KeywordIndex
 
 
 def fuse(vectors: DataFrame, keywords: DataFrame, k: int = 60, limit: int = 10) -> DataFrame:
@@ -28,11 +29,17 @@ def merge_subqueries(found: DataFrame, score: str, cap: int = 15) -> DataFrame:
     return lexical.top(one, cap, score, "merged_rank")
 
 
-def retrieve(strategy: str, chunks: DataFrame, questions: DataFrame, k: int = 10, pool: int = 20) -> DataFrame:
-    """``vector`` or ``hybrid`` retrieval of ``questions`` (``query_id, question, query_vector``)."""
+def retrieve(strategy: str, chunks: DataFrame, questions: DataFrame, k: int = 10, pool: int = 20, keep: Column | None = None, index: KeywordIndex | None = None) -> DataFrame:
+    """``vector`` or ``hybrid`` retrieval of ``questions`` (``query_id, question, query_vector``).
+
+    ``keep`` filters chunks in both rankings, and so does the access of users
+    (``user_department, is_admin``) where questions carry it. Keywords come
+    from a stored ``index`` if one is given.
+    """
     queries = questions.filter("query_vector is not null")
     if strategy == "vector":
-        return vector.search(chunks.filter("embedding is not null"), queries, k)
+        return vector.search(chunks.filter("embedding is not null"), queries, k, keep)
     if strategy == "hybrid":
-        return fuse(vector.search(chunks.filter("embedding is not null"), queries, pool), lexical.search(chunks, questions, pool), limit=k)
+        words = lexical.search(chunks, questions, pool, keep) if index is None else index.search(questions, pool, keep)
+        return fuse(vector.search(chunks.filter("embedding is not null"), queries, pool, keep), words, limit=k)
     raise ValueError(f"unknown retrieval strategy: {strategy}")

@@ -22,7 +22,7 @@ def summary(logs: DataFrame, at: str, value: str, flag: Column, as_of: str) -> D
 
 def ocr_rates(docs: DataFrame) -> DataFrame:
     """Failure rate of each document (``doc_id, needing, failed``) that needed recognition, worst first."""
-    return docs.filter("needing > 0").select("doc_id", "needing", "failed", F.round(F.col("failed") / F.col("needing"), 3).alias("failure_rate"))
+    return docs.filter("needing > 0").select("doc_id", "needing", "failed", F.round(F.col("failed") / F.col("needing"), 3).alias("failure_rate")).orderBy(F.desc("failure_rate"), "doc_id")
 
 
 def ocr_totals(docs: DataFrame) -> DataFrame:

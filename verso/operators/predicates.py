@@ -35,5 +35,6 @@ def visible(users: DataFrame, docs: DataFrame) -> DataFrame:
     wide = docs.withColumn("department", F.coalesce("department", F.lit("")))
     every = wide.select(F.col("department").alias("may")).distinct()
     mine = users.filter("not coalesce(is_admin, false)").withColumn("may", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("user_department", F.lit(""))))))
-    theirs = users.filter("coalesce(is_admin, false)").withColumn("k", F.lit(1)).join(every.withColumn("k", F.lit(1)), "k").drop("k")
+    theirs = users.filter("coalesce(is_admin, false)").join(F.broadcast(every.agg(F.collect_list("may").alias("all"))))  # one row: departments are few
+    theirs = theirs.select(*users.columns, F.explode("all").alias("may"))
     return mine.unionByName(theirs).join(wide, F.col("may") == wide["department"]).drop("may")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from verso.operators.lexical import top
 
@@ -18,19 +23,62 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 6)
 
 
+def _matrix(vectors: list, size: int) -> np.ndarray:
+    return np.array(vectors, np.float64).reshape(len(vectors), size)
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int = 20, keep: Column | None = None, block: int = 256) -> DataFrame:
     """The ``k`` nearest chunks (``chunk_id, embedding``) of each query (``query_id, query_vector``).
 
-    Filters apply before ranking. Queries are a stated set scored against all
-    chunks, in blocks of ``block`` of them, each as one array in every task's
-    hands; only each partition's best are shuffled.
+    Filters apply before ranking, and so does the access of users, if queries
+    carry ``user_department`` and ``is_admin``. Queries are a stated set, sent
+    to all tasks in blocks of ``block``; a task multiplies each batch of
+    vectors by the block and gives out the best ``k`` of the batch for each
+    query. Vectors of another length or of norm zero are near to nothing.
     """
-    row = (chunks if keep is None else chunks.filter(keep)).select("chunk_id", "embedding")
-    n = queries.count()
+    row = chunks if keep is None else chunks.filter(keep)
+    department = F.coalesce("department", F.lit("")) if "department" in chunks.columns else F.lit("")
+    row = row.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), department.alias("department"))
+    kinds = [f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (chunks, "chunk_id"))]
+    known = queries.columns
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v"), *(("user_department", "is_admin") if "user_department" in known else ()))
+    many = max(1, -(-queries.count() // block))
     out = None
-    for i in range(max(1, -(-n // block))):
-        part = queries.select("query_id", "query_vector").filter(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))) == i)
-        scored = row.join(F.broadcast(part)).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("query_vector")).alias("vector_score"))  # a block of the stated queries
-        best = top(scored, k, "vector_score", "vector_rank")
+    for i in range(many):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(many)) == i).collect()
+        by_size: dict[int, list] = {}
+        for q in part:
+            by_size.setdefault(len(q["v"]), []).append(q)
+        names = pa.array([q["query_id"] for qs in by_size.values() for q in qs], arrow_type(queries, "query_id"))
+
+        def look(batches: Iterator[pa.RecordBatch], by_size: dict[int, list] = by_size, names: pa.Array = names) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors, depts = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), object)
+                sizes = np.array([len(v) if v is not None else -1 for v in vectors])
+                found: list[tuple[int, int, float]] = []
+                at = 0
+                for size, qs in by_size.items():
+                    rows = np.flatnonzero(sizes == size)
+                    x, y = _matrix([vectors[r] for r in rows], size), _matrix([q["v"] for q in qs], size)
+                    norm = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        score = np.round(x @ y.T / norm, 6)
+                    for j, q in enumerate(qs):
+                        good = np.isfinite(score[:, j])
+                        if "user_department" in q and not q["is_admin"]:
+                            good &= (depts[rows] == "") | (depts[rows] == (q["user_department"] or ""))
+                        here = np.flatnonzero(good)
+                        if len(here) > k:  # all that tie with the k-th stay
+                            here = here[score[here, j] >= np.partition(score[here, j], -k)[-k]]
+                        found += [(at + j, int(rows[r]), float(score[r, j])) for r in here]
+                    at += len(qs)
+                q_at, c_at, s = ([f[n] for f in found] for n in range(3))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q_at, pa.int64())), batch.column(0).take(pa.array(c_at, pa.int64())), pa.array(s, pa.float64())], ["query_id", "chunk_id", "vector_score"])
+
+        best = top(row.mapInArrow(look, f"query_id {kinds[0]}, chunk_id {kinds[1]}, vector_score double"), k, "vector_score", "vector_rank")
         out = best if out is None else out.unionByName(best)
     return out
+
+
+def arrow_type(rows: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(rows.schema[column].dataType)

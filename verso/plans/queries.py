@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from verso.functions import text as T
 from verso.functions.patterns import COMPARISON, DEPARTMENTS, INJECTION, JAILBREAK, REFERENTIAL, REFUSALS, STATUSES, SUMMARY, TYPES
 from verso.operators import answering, chunking, evaluation, fusion, guardrails, lexical, observability, planner, predicates, registry, sessions, vector
+from verso.operators.index import KeywordIndex
+from verso.session import shared_dir
 from verso.sources.tables import chunks, questions, read, with_vectors
 from verso.streaming import jobs
 
@@ -45,11 +47,11 @@ CHUNKS = f"""chunks AS (
          {_list(STATUSES)}[CAST(doc_id % 4 AS INT) + 1] AS document_status, {_list(TYPES)}[CAST(doc_id % 5 AS INT) + 1] AS document_type
   FROM documents)"""
 TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+')"
-BM25 = rf"""tok AS (SELECT chunk_id, {TOKENS.format("text")} AS w, department, document_status FROM chunks),
+BM25 = rf"""tok AS MATERIALIZED (SELECT chunk_id, {TOKENS.format("text")} AS w, department, document_status FROM chunks),
 corpus AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(w) AS term FROM tok) GROUP BY term),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, corpus),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM raw),
 asked AS (SELECT query_id, term, count(*) AS qn FROM (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 post AS (SELECT chunk_id, term, dl, count(*) AS tf FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY ALL),
 scored AS (
@@ -107,21 +109,34 @@ def refusal_flags(spark, sf_dir):
 # retrieval -----------------------------------------------------------------------------------------
 
 
+_INDEXES: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def _index(spark, sf_dir) -> KeywordIndex:
+    """The stored index of a folder of tables; it is built at first use and again when its chunks have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = KeywordIndex(spark, shared_dir(spark, "keywords"))
+    _INDEXES[key].refresh(chunks(spark, sf_dir))
+    return _INDEXES[key]
+
+
 @query(f"WITH {CHUNKS}, {BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_stats(spark, sf_dir):
-    return lexical.statistics(chunks(spark, sf_dir))[0].select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf_dir).terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {CHUNKS}, {BM25}, {LEXICAL} SELECT * FROM lex")
 def bm25_topk(spark, sf_dir):
-    return lexical.search(chunks(spark, sf_dir), questions(spark, sf_dir))
+    return _index(spark, sf_dir).search(questions(spark, sf_dir))
 
 
 @query(f"""WITH {CHUNKS}, {BM25},
 padded AS (SELECT item_id AS query_id, chunk_id, coalesce(bm25_score, 0) AS bm25_score FROM benchmark CROSS JOIN chunks LEFT JOIN scored ON scored.query_id = item_id AND scored.chunk_id = chunks.chunk_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS bm25_rank FROM padded) WHERE bm25_rank <= 20""".replace("chunk_id, coalesce(bm25", "chunks.chunk_id, coalesce(bm25"))
 def bm25_topk_padded(spark, sf_dir):
-    return lexical.search_padded(chunks(spark, sf_dir), questions(spark, sf_dir))
+    asked = questions(spark, sf_dir)
+    return lexical.search_padded(chunks(spark, sf_dir), asked, scored=_index(spark, sf_dir).scores(asked))
 
 
 @query(f"""WITH {CHUNKS}, {BM25} SELECT query_id, chunk_id, bm25_score, bm25_rank FROM (
@@ -129,7 +144,7 @@ def bm25_topk_padded(spark, sf_dir):
   FROM scored s JOIN chunks c ON c.chunk_id = s.chunk_id WHERE department IN ('', 'hr') AND document_status = 'hieu_luc') WHERE bm25_rank <= 20""")
 def bm25_filtered_acl(spark, sf_dir):
     keep = predicates.department("hr") & predicates.metadata({"document_status": "hieu_luc", "document_type": None})
-    return lexical.search(chunks(spark, sf_dir), questions(spark, sf_dir), keep=keep)
+    return _index(spark, sf_dir).search(questions(spark, sf_dir), keep=keep)
 
 
 def _vector_chunks(spark, sf_dir):
@@ -149,7 +164,7 @@ def vector_topk_filtered(spark, sf_dir):
 
 def _hybrid(spark, sf_dir):
     q = questions(spark, sf_dir)
-    return fusion.fuse(vector.search(_vector_chunks(spark, sf_dir), q.filter("query_vector is not null")), lexical.search(chunks(spark, sf_dir), q))
+    return fusion.fuse(vector.search(_vector_chunks(spark, sf_dir), q.filter("query_vector is not null")), _index(spark, sf_dir).search(q))
 
 
 @query(f"WITH {HYBRID} SELECT * FROM fused")
@@ -172,7 +187,7 @@ def multi_query_merge(spark, sf_dir):
     parts = F.slice(F.filter(F.split(F.coalesce("question", F.lit("")), r"[.\n]+"), lambda x: F.trim(x) != ""), 1, 4)
     sub = questions(spark, sf_dir).select("query_id", F.posexplode(parts).alias("i", "part")).select("query_id", (F.col("i") + 1).cast("long").alias("sub_id"), "part")
     keyed = sub.select(F.struct("query_id", "sub_id").alias("query_id"), F.col("part").alias("question"))
-    found = lexical.search(chunks(spark, sf_dir), keyed, 10).select("query_id.query_id", "query_id.sub_id", "chunk_id", "bm25_score")
+    found = _index(spark, sf_dir).search(keyed, 10).select("query_id.query_id", "query_id.sub_id", "chunk_id", "bm25_score")
     return fusion.merge_subqueries(found, "bm25_score")
 
 
@@ -488,8 +503,9 @@ def eval_ab(spark, sf_dir):
 
 @query()
 def answer_questions(spark, sf_dir):
-    q = questions(spark, sf_dir).select("query_id", "question", "query_vector", F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("has_history"))
-    return answering.answer(q, with_vectors(chunks(spark, sf_dir), spark, sf_dir))
+    user = F.when(F.col("query_id") % 3 == 0, "hr").alias("user_department"), (F.col("query_id") % 5 == 0).alias("is_admin")
+    q = questions(spark, sf_dir).select("query_id", "question", "query_vector", F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("has_history"), *user)
+    return answering.answer(q, with_vectors(chunks(spark, sf_dir), spark, sf_dir), index=_index(spark, sf_dir))
 
 
 # streaming -----------------------------------------------------------------------------------------

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="verso-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from verso.session import shared_dir
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -32,7 +25,7 @@ def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly dashboard of all events that are there, each hour's last state."""
-    out, state = work_dir(spark, "stream-latency"), work_dir(spark, "stream-state")
+    out, state = shared_dir(spark, "stream-latency"), shared_dir(spark, "stream-state")
 
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -59,7 +52,7 @@ def ingest(stream: DataFrame, registry: str, checkpoint: str):
 
 def run_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry after all documents have come as a stream."""
-    registry, state = work_dir(spark, "stream-registry"), work_dir(spark, "stream-state")
+    registry, state = shared_dir(spark, "stream-registry"), shared_dir(spark, "stream-state")
     spark.createDataFrame([], "doc_id long, file_hash string, batch long").write.parquet(f"{registry}/empty")
     ingest(_source(spark, sf_dir, "documents"), registry, state).awaitTermination()
     return spark.read.schema("doc_id long, file_hash string, batch long").option("recursiveFileLookup", "true").parquet(registry).drop("batch")
