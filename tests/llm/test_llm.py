@@ -624,7 +624,7 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, odd):
 
 def test_shared_dir_without_a_setting():
     class Context:
-        at = None
+        at, master = None, "local[8]"
 
         def getCheckpointDir(self):
             return self.at
@@ -640,5 +640,9 @@ def test_shared_dir_without_a_setting():
             def get(key, default):
                 return default
 
+    Context.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        shared_dir(Session, "a")
+    Context.master = "local[8]"
     first, second = shared_dir(Session, "a"), shared_dir(Session, "a")
     assert first != second and first.startswith("file://") and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
