@@ -34,6 +34,8 @@ from verso.llm.common import discard, shared_dir, stored, table, with_few
 
 PREFIX = 64
 CHUNK = 1 << 20
+#: Contexts that are fingerprinted at once, if no larger group has to be.
+SLICE = 1024
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _BYTES = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64)
 _LOW = np.uint64((1 << 24) - 1)
@@ -261,7 +263,7 @@ def _partial(contexts: DataFrame, many: DataFrame, length: int, whole_groups: in
     Contexts come sorted by prefix and are compared in whole groups. Prefixes
     with more than ``whole_groups`` contexts (``many``) have their windows
     counted by fingerprint instead, so that no task holds such a group: one of
-    fewer takes at most some 30 MB, as a context has less than 400 bytes.
+    fewer takes at most some 100 MB, as a context has less than 400 bytes.
     """
     schema = "doc long, start int, end int"
 
@@ -275,8 +277,8 @@ def _partial(contexts: DataFrame, many: DataFrame, length: int, whole_groups: in
             return _runs(rows["doc"].to_numpy(np.int64)[row[twice]], place[twice], length) if twice.any() else pd.DataFrame({"doc": [], "start": [], "end": []}).astype("int64")
 
         for batch in batches:
-            for at in range(0, len(batch), whole_groups):
-                held = pd.concat([held, batch.iloc[at : at + whole_groups]], ignore_index=True)
+            for at in range(0, len(batch), SLICE):
+                held = pd.concat([held, batch.iloc[at : at + SLICE]], ignore_index=True)
                 ready = held["key"] != held["key"].iloc[-1]
                 if ready.any():
                     yield done(held[ready])
@@ -286,8 +288,8 @@ def _partial(contexts: DataFrame, many: DataFrame, length: int, whole_groups: in
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), whole_groups):
-                part = batch.iloc[at : at + whole_groups]
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
                 prints, row, place = _windows_of(part, length)
                 yield pd.DataFrame({"print": prints.view(np.int64), "doc": part["doc"].to_numpy(np.int64)[row], "start": place})
 
@@ -297,7 +299,7 @@ def _partial(contexts: DataFrame, many: DataFrame, length: int, whole_groups: in
     return few.unionByName(window.join(again, "print", "left_semi").select("doc", "start", (F.col("start") + length).alias("end")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 3, whole_groups: int = 1024) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 3, whole_groups: int = 4096) -> DataFrame:
     """Every row of ``docs`` with ``doc_id, n_bytes, n_removed, n_spans, kept`` (kept: the remaining bytes).
 
     A byte goes if it is in a string of ``length`` bytes that also starts
