@@ -22,6 +22,8 @@ OPEN, CLOSE = "<s>", "</s>"
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|")
 #: The escape mark; followed by 0 it stands for itself, by 1 for nothing, by 2 for a newline in a role.
 MARK = "\x1b"
+#: Tokens that the template itself takes of each turn.
+TURN = 3
 
 
 def escape(text: Column) -> Column:
@@ -48,7 +50,7 @@ def count_tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}])"), F.lit(1))).cast("long")
 
 
-def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, history_turns: int = 32) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFrame:
     """``conv_id, turn, role, text`` to windows ``conv_id, window, n_context, tokens, formatted, mask``.
 
     A window holds at most ``budget`` tokens unless one turn alone with the
@@ -60,7 +62,7 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, his
     """
     row = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     row = row.withColumns({"role_out": escape_role(F.col("role")), "text_out": escape(F.col("text"))})
-    row = row.withColumn("tokens", count_tokens(F.concat("role", F.lit(" "), "text")) + 3)
+    row = row.withColumn("tokens", count_tokens(F.concat("role", F.lit(" "), "text")) + TURN)
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     row = row.withColumn("n", F.row_number().over(order)).withColumn("system", (F.col("n") == 1) & (F.col("role") == "system"))
     row = row.withColumn("end", F.sum(F.when(F.col("system"), 0).otherwise(F.col("tokens"))).over(order.rowsBetween(W.unboundedPreceding, 0)))
@@ -89,7 +91,7 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, his
         begin = F.get("body", cut)["end"] - F.get("body", cut)["tokens"]
         spent = F.coalesce(F.get("body", cut + size - 1)["end"] - begin, F.lit(0).cast("long"))
         left = F.least(F.lit(history).cast("long"), F.col("room") - spent)
-        many = F.least(cut, F.lit(history_turns))
+        many = F.least(cut, F.lit(history // TURN + 1))  # no more turns can fit, as each has TURN tokens at least
         past = F.filter(F.slice("body", cut - many + 1, many), lambda t: begin - (t["end"] - t["tokens"]) <= left)
         return F.struct(i.alias("window"), past.alias("past"), span.alias("span"))
 
@@ -131,6 +133,7 @@ def read_windows(windows: DataFrame) -> DataFrame:
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
+    """Digests of every conversation as read back from its windows; nulls, ties, repeated rows, long texts and empty tables as in ``format_windows``."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
