@@ -75,3 +75,21 @@ def table_line(cells: Column) -> Column:
     """A row of a markdown table: bars escaped, newlines as blanks, null as empty."""
     safe = F.transform(cells, lambda c: F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))
     return F.concat(F.lit("| "), F.array_join(safe, " | "), F.lit(" |"))
+
+
+def clean_plain(text: Column) -> Column:
+    """Composition, then no control or format signs but newline and tab, single blanks, one empty line at most; null is empty."""
+    out = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"[\p{C}&&[^\n\t]]", "")
+    return strip(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+
+def truncate(text: Column, most: int = 100, suffix: str = "...") -> Column:
+    """Texts longer than ``most`` cut at their last blank before it, if there is one, with a suffix."""
+    head = F.substring(text, 1, most)
+    whole = F.regexp_extract(head, r"(?s)^(.+) ", 1)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(whole == "", head).otherwise(whole), F.lit(suffix)))
+
+
+def title(question: Column, most: int = 50) -> Column:
+    """A session's title: the question without punctuation, truncated."""
+    return truncate(F.regexp_replace(F.coalesce(question, F.lit("")), r"(?U)[^\w\s]", ""), most)

@@ -45,8 +45,8 @@ def contexts(found: DataFrame, rank: str, separator: str = "\n\n") -> DataFrame:
     return listed.select("query_id", F.array_join(F.transform("s", lambda x: x["t"]), separator).alias("context"))
 
 
-def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", generate: Callable[[Column, Column], Column] = extractive_answer, keep: Column | None = None, index: KeywordIndex | None = None) -> DataFrame:
-    """``query_id, reason, query_type, answer, finish_reason, sources, unverified_citations`` of every question.
+def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", generate: Callable[[Column, Column], Column] = extractive_answer, keep: Column | None = None, index: KeywordIndex | None = None, guard_input: bool = True, guard_retrieval: bool = True, guard_output: bool = True) -> DataFrame:
+    """``query_id, reason, query_type, answer, finish_reason, sources, unverified_citations, sanitized_chunks, citation_warning`` of every question.
 
     ``questions`` has ``query_id, question, query_vector, doc_id, has_history``
     and the user's ``user_department, is_admin``; without these the user is
@@ -54,13 +54,14 @@ def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", ge
     may not read is as if it were not there, on every path.
     Blocked questions end with their reason; a summary without a document is
     NO_DOC, one of a document without chunks EMPTY_DOC, a question without hits
-    NO_DOCS.
+    NO_DOCS. Each guard can be switched off; where it is off, or a question ends
+    early, its columns have their defaults (no citations, 0 chunks, no warning).
     """
     if "user_department" not in questions.columns:
         questions = questions.withColumns({"user_department": F.lit(None).cast("string"), "is_admin": F.lit(False)})
     if "department" not in chunks.columns:
         chunks = chunks.withColumn("department", F.lit(""))
-    q = questions.withColumn("reason", input_reason(F.col("question"))).withColumn("plan", fast_path(F.col("question"), F.coalesce("has_history", F.lit(False)))).withColumn("query_type", F.coalesce("plan.query_type", F.lit("simple")))
+    q = questions.withColumn("reason", input_reason(F.col("question")) if guard_input else F.lit(None).cast("string")).withColumn("plan", fast_path(F.col("question"), F.coalesce("has_history", F.lit(False)))).withColumn("query_type", F.coalesce("plan.query_type", F.lit("simple")))
     open_ = q.filter("reason is null")
     summary, asked = open_.filter("plan.bypass_retrieval"), open_.filter("not plan.bypass_retrieval")
     told_of = summary.filter("doc_id is not null").select("query_id", "doc_id", "user_department", "is_admin")
@@ -72,8 +73,10 @@ def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", ge
     rank = "fusion_rank" if strategy == "hybrid" else "vector_rank"
     hits = hits.select("query_id", "chunk_id", F.col(rank).alias("prior")).join(chunks, "chunk_id").join(asked.select("query_id", "question"), "query_id")
     theirs = rerank(hits, "prior").select("query_id", "chunk_id", "doc_id", "page_num", "text", F.col("rerank_rank").alias("rank"))
-    found = sanitize(ours.unionByName(theirs))
-    told = q.join(contexts(found, "rank"), "query_id", "left").join(sources(found, "rank"), "query_id", "left")
+    found = ours.unionByName(theirs)
+    found = sanitize(found) if guard_retrieval else found.withColumns({"sanitized": F.lit(False), "substrings_redacted": F.lit(0)})
+    touched = found.groupBy("query_id").agg(F.count_if("sanitized").alias("sanitized_chunks"))
+    told = q.join(contexts(found, "rank"), "query_id", "left").join(touched, "query_id", "left").na.fill(0, ["sanitized_chunks"]).join(sources(found, "rank"), "query_id", "left")
     end = (
         F.when(F.col("reason").isNotNull(), "BLOCKED")
         .when(F.col("plan.bypass_retrieval") & F.col("doc_id").isNull(), "NO_DOC")
@@ -82,5 +85,17 @@ def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", ge
         .otherwise("STOP")
     )
     told = told.withColumn("finish_reason", end).withColumn("answer", F.when(F.col("finish_reason") == "STOP", generate(F.col("question"), F.col("context"))))
-    return told.select("query_id", "reason", "query_type", "answer", "finish_reason", "sources", unverified(F.col("answer"), F.col("context")).alias("unverified_citations"))
+    cited = unverified(F.col("answer"), F.col("context")) if guard_output else F.array().cast("array<string>")
+    told = told.withColumn("unverified_citations", cited).withColumn("citation_warning", F.size("unverified_citations") > 0)
+    return told.select("query_id", "reason", "query_type", "answer", "finish_reason", "sources", "unverified_citations", "sanitized_chunks", "citation_warning")
 
+
+def prompt(question: Column, context: Column) -> Column:
+    """What a generator is asked: the blocks of the context, then the question. Fixed wording."""
+    return F.concat(F.lit("[TÀI LIỆU THAM KHẢO]\n\n"), F.coalesce(context, F.lit("")), F.lit("\n\n---\n\nCâu hỏi: "), F.coalesce(question, F.lit("")), F.lit("\n\nCâu trả lời:"))
+
+
+def messages(history: Column, asked: Column) -> Column:
+    """Turns for a generator (``role, text``): all but the user's are the model's; the prompt comes last."""
+    said = F.transform(F.coalesce(history, F.array().cast("array<struct<role:string,text:string>>")), lambda m: F.struct(F.when(m["role"] == "user", "user").otherwise("model").alias("role"), F.coalesce(m["text"], F.lit("")).alias("text")))
+    return F.concat(said, F.array(F.struct(F.lit("user").alias("role"), asked.alias("text"))))

@@ -45,3 +45,8 @@ def unverified(answer: Column, context: Column) -> Column:
     """Cited articles that the context does not hold, whatever the case of letters."""
     low = F.lower(F.coalesce(context, F.lit("")))
     return F.filter(citations(answer), lambda c: ~F.contains(low, F.lower(c)))
+
+
+def sanitize_report(sanitized: DataFrame) -> DataFrame:
+    """One row for a batch: chunks, chunks with something redacted, and substrings redacted."""
+    return sanitized.agg(F.count("*").alias("chunks"), F.count_if("sanitized").alias("chunks_sanitized"), F.coalesce(F.sum("substrings_redacted"), F.lit(0)).alias("substrings_redacted"))

@@ -38,3 +38,12 @@ def visible(users: DataFrame, docs: DataFrame) -> DataFrame:
     theirs = users.filter("coalesce(is_admin, false)").join(F.broadcast(every.agg(F.collect_list("may").alias("all"))))  # one row: departments are few
     theirs = theirs.select(*users.columns, F.explode("all").alias("may"))
     return mine.unionByName(theirs).join(wide, F.col("may") == wide["department"]).drop("may")
+
+
+def owned(owner: Column, user: Column, is_admin: Column) -> Column:
+    """Sessions, deletes and patches are for the owner and for administrators; null owners and users match nobody."""
+    return F.coalesce(is_admin, F.lit(False)) | F.coalesce(owner == user, F.lit(False))
+
+
+def has_role(role: Column, *allowed: str) -> Column:
+    return F.coalesce(role.isin(*allowed), F.lit(False))

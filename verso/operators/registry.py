@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verso.functions.patterns import DEPARTMENTS, STATUSES, TYPES
 from verso.operators.predicates import readable
+from verso.session import shared_dir
 
 
 def content_hash(content: Column) -> Column:
@@ -71,8 +74,23 @@ def listing(docs: DataFrame, search: str | None = None, status: str | None = Non
 
 
 def register_users(users: DataFrame, existing: DataFrame) -> DataFrame:
-    """New users whose e-mail and name are both free."""
-    return users.join(existing.select("email"), "email", "left_anti").join(existing.select("username"), "username", "left_anti")
+    """New users (``user_id, email, username``) whose e-mail and name are both free, as if registered one by one by id.
+
+    Of users whose ids are the smallest of both their e-mail and their name all
+    register at once; who shares either with them is refused, and the rest goes
+    round again. Every round settles at least the smallest id of what is left.
+    """
+
+    def free(rows: DataFrame, taken: DataFrame) -> DataFrame:
+        return rows.join(taken.select("email"), "email", "left_anti").join(taken.select("username"), "username", "left_anti")
+
+    shared_dir(users.sparkSession, "users")  # sets a folder for checkpoints where there is none
+    left, out = free(users, existing).select(users.columns).checkpoint(), []
+    while not left.isEmpty():
+        mail, name = (left.groupBy(c).agg(F.min("user_id").alias("user_id")) for c in ("email", "username"))
+        out.append(left.join(mail, ["email", "user_id"], "left_semi").join(name, ["username", "user_id"], "left_semi").select(users.columns).checkpoint())
+        left = free(left, out[-1]).select(users.columns).checkpoint()
+    return reduce(DataFrame.unionByName, out, left)
 
 
 def corpus_checksum(chunks: DataFrame, with_text: bool = True) -> DataFrame:
@@ -87,3 +105,51 @@ def corpus_checksum(chunks: DataFrame, with_text: bool = True) -> DataFrame:
     sums = [F.sum(h).alias(f"s{i}") for i, h in enumerate(halves)] + [F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(halves)]
     out = chunks.agg(F.count("*").alias("n"), *sums)
     return out.select(F.md5(F.concat_ws("|", "n", *[f"{a}{i}" for a in "sx" for i in range(4)])).alias("checksum"), "n")
+
+
+def admit(uploads: DataFrame, registry: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """Uploads (``doc_id, filename, file_hash``) with ``reason`` and ``stored_name``.
+
+    An upload is refused for its extension, or because a document that has not
+    failed, or an earlier accepted upload, holds the same content. The stored
+    name is of the upload alone, so that a repeated run gives the same.
+    """
+    kind = F.lower(F.regexp_extract("filename", r"\.([^./]+)$", 1))
+    row = uploads.withColumn("_kind", kind)
+    good = row.filter(F.col("_kind").isin(*extensions)).join(registry.filter("status != 'failed'").select("file_hash"), "file_hash", "left_anti")
+    first = good.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("_first"))
+    out = row.join(first, "doc_id", "left")
+    reason = F.when(~F.col("_kind").isin(*extensions), "bad_extension").when(F.col("_first").isNull(), "duplicate")
+    name = F.concat(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "file_hash")), F.lit("."), "_kind")
+    return out.withColumn("reason", reason).withColumn("stored_name", F.when(F.col("reason").isNull(), name)).drop("_kind", "_first")
+
+
+def latest_fields(events: DataFrame, key: str, at: str, tie: str, fields: list[str]) -> DataFrame:
+    """The last value of each field that an event sets; an event leaves alone what is null in it."""
+    order = F.struct(at, tie)
+    return events.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in fields], F.max(at).alias("updated_at"))
+
+
+def fetch(wanted: DataFrame, docs: DataFrame, dept: str | None = None, is_admin: bool = False) -> DataFrame:
+    """Documents by id for one user, with ``found``; what the user may not read is not found, like what does not exist."""
+    mine = docs.filter(readable(dept, is_admin)).withColumn("found", F.lit(True))
+    return wanted.select("doc_id").join(mine, "doc_id", "left").na.fill(False, ["found"])
+
+
+def totals(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row with the numbers of documents, chunks and vectors."""
+    d = docs.agg(F.count("*").alias("documents"))
+    c = chunks.agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"))
+    return d.join(c)  # one row each
+
+
+def batch_report(results: DataFrame, at: str) -> DataFrame:
+    """One row of a batch of ingested documents (``status``): how many, how many succeeded and failed, and its seconds."""
+    seconds = F.timestamp_diff("MICROSECOND", F.min(at), F.max(at)) / 1e6
+    return results.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "done").alias("succeeded"), F.count_if(F.col("status") != "done").alias("failed"), seconds.alias("elapsed_s"))
+
+
+def with_labels(rows: DataFrame, column: str = "department") -> DataFrame:
+    """Rows with the label of their department; an unknown one is its own label."""
+    label = F.create_map(*[F.lit(x) for pair in DEPARTMENTS.items() for x in pair])
+    return rows.withColumn("label", F.coalesce(F.try_element_at(label, F.col(column)), F.col(column)))

@@ -12,6 +12,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -49,10 +50,9 @@ def _filled(rows: list[list[str]]) -> list[list[str]]:
 
 
 def parse_csv(content: bytes) -> tuple[list[str], list[list[str]]]:
-    """Header and rows; the separator is the commonest of comma, semicolon and tab in the first line with any."""
+    """Header and rows; the separator is the commonest of comma, semicolon and tab outside quotes in the first 4,096 characters."""
     text = _decoded(content)
-    head = next((x for x in text[:4096].splitlines() if re.search("[,;\t]", x)), "")
-    best = max(",;\t", key=head.count) if head else ","
+    best = max(",;\t", key=re.sub(r'"[^"]*"', "", text[:4096]).count)
     rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text), delimiter=best)]
     return (rows[0], _filled(rows[1:])) if rows else ([], [])
 
@@ -143,3 +143,13 @@ def pages(found: DataFrame) -> DataFrame:
     tables = F.when(F.col("rows").isNotNull(), pack_rows(F.col("header"), F.col("rows"), sheet=F.col("sheet"))).otherwise(F.array().cast("array<string>"))
     out = raw.select(F.sha2("path", 256).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "page_num", text.alias("text"), tables.alias("tables"), F.col("sheet").alias("sheet_name"), "error")
     return out.filter("error is not null or text != '' or size(tables) > 0")
+
+
+def outside_tables(spans: DataFrame, tables: DataFrame, by: tuple[str, ...] = ("doc_id", "page_num")) -> DataFrame:
+    """Spans (``x0, y0, x1, y1``) of a page that overlap none of its tables; boxes that only touch do not overlap.
+
+    Equality on the page makes it a hash join; only boxes of one page are compared.
+    """
+    s, t = spans.alias("s"), tables.alias("t")
+    here = reduce(lambda a, b: a & b, [F.col(f"s.{c}") == F.col(f"t.{c}") for c in by])
+    return s.join(t, here & F.expr("s.x0 < t.x1 and t.x0 < s.x1 and s.y0 < t.y1 and t.y0 < s.y1"), "left_anti")

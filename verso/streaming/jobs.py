@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from verso.operators.observability import limit_key
 from verso.session import shared_dir
 
 
@@ -14,6 +17,12 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return stamped.groupBy(F.window("at", "1 hour")).agg(F.count("*").alias("count"), F.round(F.round(F.avg("value"), 6), 1).alias("avg_value")).select(F.col("window.start").alias("hour"), "count", "avg_value")
 
 
+def dropbox(spark: SparkSession, folder: str, remove: bool = False) -> DataFrame:
+    """Uploaded files as a stream; with ``remove`` each is deleted once a later batch has begun, whether or not it could be parsed."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
+    return (files.option("cleanSource", "delete") if remove else files).load(folder)
+
+
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of files; a table that is one file is streamed from its folder by name."""
     path = f"{sf_dir}/{name}.parquet"
@@ -25,16 +34,56 @@ def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly dashboard of all events that are there, each hour's last state."""
-    out, state = shared_dir(spark, "stream-latency"), shared_dir(spark, "stream-state")
+    last = last_states(hourly(_source(spark, sf_dir, "events")), ["hour"])
+    return last.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+def last_states(updates: DataFrame, key: list[str]) -> DataFrame:
+    """Runs a stream of updates over all that is there; the last state of each key. A batch that comes again overwrites itself."""
+    spark, values = updates.sparkSession, [c for c in updates.columns if c not in key]
+    out, state = shared_dir(spark, "stream-updates"), shared_dir(spark, "stream-state")
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/b{batch_id}")
+
+    updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], StructType([*updates.schema, StructField("batch", LongType())])).write.parquet(f"{out}/empty")
+    done = spark.read.schema(StructType([*updates.schema, StructField("batch", LongType())])).option("recursiveFileLookup", "true").parquet(out)
+    return done.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("s")).select(*key, "s.*")
+
+
+def limited(requests: DataFrame, limit: int = 20, unit: str = "1 minute", late: str = "1 hour") -> DataFrame:
+    """Requests of each key (``key, at``) in each fixed window of a stream, and how many are over the limit; old windows go."""
+    n = requests.withWatermark("at", late).groupBy(F.window("at", unit), "key").agg(F.count("*").alias("requests"))
+    return n.select(F.col("window.start").alias("start"), "key", "requests", F.greatest(F.col("requests") - limit, F.lit(0)).alias("rejected"))
+
+
+def run_limits(spark: SparkSession, sf_dir: str, limit: int = 2, unit: str = "1 hour") -> DataFrame:
+    at = _source(spark, sf_dir, "events").select(limit_key(F.col("user_id"), F.lit("unknown")).alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    return last_states(limited(at, limit, unit), ["start", "key"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def remembered(turns: DataFrame, keep: int = 6) -> DataFrame:
+    """The last ``keep`` turns of each session of a stream as state: ``conv_id, turns`` (turn numbers), ``texts``, after each batch.
+
+    Turns may come in any order; the state holds no more than ``keep`` of a session.
+    """
+
+    def step(key, batches, state):
+        held = list(zip(*state.get)) if state.exists else []
+        for b in batches:
+            held = sorted(held + list(zip(b["turn"], b["text"])), key=lambda x: x[0])[-keep:]
+        numbers, texts = [int(n) for n, _ in held], [t for _, t in held]
+        state.update((numbers, texts))
+        yield pd.DataFrame({"conv_id": [key[0]], "turns": [numbers], "texts": [texts]})
+
+    kept = "turns array<long>, texts array<string>"
+    said = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return said.groupBy("conv_id").applyInPandasWithState(step, f"conv_id long, {kept}", kept, "update", "NoTimeout")
+
 
-    q = hourly(_source(spark, sf_dir, "events")).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    done = spark.read.schema("hour timestamp, count long, avg_value double, batch long").parquet(f"{out}/*")
-    last = done.groupBy("hour").agg(F.max_by(F.struct("count", "avg_value"), "batch").alias("s"))
-    return last.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "s.*")
+def run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_states(remembered(_source(spark, sf_dir, "conversations")), ["conv_id"])
 
 
 def ingest(stream: DataFrame, registry: str, checkpoint: str):
