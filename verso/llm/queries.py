@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpus_pipeline import run
 from verso.llm.chains import op2_passages
 from verso.llm.chat import op8_chat
+from verso.llm.codes import OP13_SQL, op13_codes
 from verso.llm.decontaminate import op10_decontamination
 from verso.llm.licenses import op3_licenses
 from verso.llm.minhash import OP7_SQL, op7_near_duplicates
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op13_codes": op13_codes,
     "pipeline": run,
 }
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op5_warc": OP5_SQL,
     "op7_near_duplicates": OP7_SQL,
     "op9_mixing": OP9_SQL,
+    "op13_codes": OP13_SQL,
 }
