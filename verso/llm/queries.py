@@ -13,6 +13,7 @@ from verso.llm.mixing import OP9_SQL, op9_mixing
 from verso.llm.quality import OP1_SQL, op1_quality
 from verso.llm.secrets import op4_secrets
 from verso.llm.suffixes import op6_suffixes
+from verso.llm.trie import OP11_SQL, op11_prefix_trie
 from verso.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_codes": op13_codes,
     "pipeline": run,
 }
@@ -34,5 +36,6 @@ ORACLES = {
     "op5_warc": OP5_SQL,
     "op7_near_duplicates": OP7_SQL,
     "op9_mixing": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_codes": OP13_SQL,
 }
