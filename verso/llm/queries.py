@@ -10,6 +10,7 @@ from verso.llm.decontaminate import op10_decontamination
 from verso.llm.licenses import op3_licenses
 from verso.llm.minhash import OP7_SQL, op7_near_duplicates
 from verso.llm.mixing import OP9_SQL, op9_mixing
+from verso.llm.ngrams import op12_scores
 from verso.llm.quality import OP1_SQL, op1_quality
 from verso.llm.secrets import op4_secrets
 from verso.llm.suffixes import op6_suffixes
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_scores": op12_scores,
     "op13_codes": op13_codes,
     "pipeline": run,
 }
