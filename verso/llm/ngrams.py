@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from verso.llm.common import stored, table
 
-#: Weight of the shorter context's distribution for contexts of one word and of two.
-PRIOR = (12.0, 6.0)
+#: Weight of the shorter context's distribution for contexts of one word and of two; chosen on held-out rows of the small tables.
+PRIOR = (200.0, 5.0)
 #: Bytes of text of a block, and tokens for which there is one shard.
 BLOCK, SHARD = 12 << 20, 2 << 20
 #: Steps a decade of quantised probabilities; a byte of 0 says that there is none.
