@@ -1,9 +1,9 @@
 """A language model of word n-grams in Elias-Fano tries, trained on and applied to a corpus.
 
-Documents are cut into blocks whose tokens are numbered by a vocabulary that
-Spark counts and sorts by frequency. Each block asks for its distinct n-grams
-once, dealt to shards by the digest of their first two words, with the counts
-of its training documents. A shard adds the counts up, smooths and quantises
+Documents are cut into blocks, which ask shards of the vocabulary for numbers
+and counts of their distinct words. Then each block asks for its distinct
+n-grams once, dealt to shards by the digest of their first two words, with the
+counts of its training documents. A shard adds the counts up, smooths and quantises
 them, builds a trie and answers its blocks with a byte or two for each n-gram;
 the blocks then score their documents. What crosses the network is distinct
 n-grams and bytes, not tokens, and no task holds more than a block or a shard.
@@ -38,7 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verso.llm.common import stored, table
+from verso.llm.common import discard, stored, table
+from verso.session import shared_dir
 
 #: Weight of the shorter context's distribution for contexts of one word and of two; chosen on held-out rows of the small tables.
 PRIOR = (200.0, 5.0)
@@ -84,26 +85,14 @@ VALUES = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / STEPS)])
 # the trie ---------------------------------------------------------------------------------------------
 
 
-def select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the ``k``-th set bit, from 0; ``before`` counts those before each word."""
-    at = np.searchsorted(before, k, "right") - 1
-    left, bits, place = k - before[at], words[at], at * 64
-    for width in (32, 16, 8, 4, 2, 1):
-        n = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
-        skip = left >= n
-        left, bits, place = np.where(skip, left - n, left), np.where(skip, bits >> np.uint64(width), bits), np.where(skip, place + width, place)
-    return place
-
-
 class EliasFano:
     """A monotone sequence of whole numbers: the low bits of each, and its high bits in unary, which start with as many ones
-    as values share them and end with a zero."""
+    as values share them and end with a zero. Where the ones and zeros are is looked up when the sequence is opened."""
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
         self.n, self.width, self.low, self.high = n, width, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)[:-1]]) if len(high) else np.zeros(1, np.int64)
-        self.zeros = np.arange(len(self.ones)) * 64 - self.ones
+        unary = np.unpackbits(high, bitorder="little")
+        self.ones, self.zeros = np.flatnonzero(unary), np.flatnonzero(unary == 0)
         self.lows = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
 
     @classmethod
@@ -111,12 +100,12 @@ class EliasFano:
         n, top = len(values), int(values[-1]) + 1 if len(values) else 1
         width = max(0, (top // max(1, n)).bit_length() - 1)
         low = [np.packbits(((values[a : a + (1 << 16), None] >> np.arange(width)) & 1).astype(np.uint8).ravel(), bitorder="little") for a in range(0, n, 1 << 16)]
-        unary = np.zeros(-(-(n + (top >> width) + 1) // 64) * 64, np.uint8)
+        unary = np.zeros(n + (top >> width) + 1, np.uint8)
         unary[(values >> width) + np.arange(n)] = 1
-        return cls(n, width, np.concatenate([*low, np.zeros(8, np.uint8)]), np.packbits(unary, bitorder="little").view("<u8"))
+        return cls(n, width, np.concatenate([*low, np.zeros(8, np.uint8)]), np.packbits(unary, bitorder="little"))
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return (select(self.high, self.ones, i) - i << self.width) | self._low(i)
+        return (self.ones[i] - i << self.width) | self._low(i)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.width
@@ -124,8 +113,8 @@ class EliasFano:
 
     def _upto(self, high: np.ndarray) -> np.ndarray:
         """How many values have at most these high bits."""
-        inside = np.clip(high, 0, len(self.high) * 64 - self.n - 1)
-        return np.where(high < 0, 0, select(~self.high, self.zeros, inside) - inside)
+        inside = np.clip(high, 0, len(self.zeros) - 1)
+        return np.where(high < 0, 0, self.zeros[inside] - inside)
 
     def successor(self, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The first place from ``start`` on, and before ``end``, whose value is no less; else ``end``."""
@@ -155,7 +144,7 @@ class Trie:
             for kind, seqs in enumerate((self.keys, self.starts)):
                 n, width = shape[1 + 4 * level + 2 * kind : 3 + 4 * level + 2 * kind]
                 if n >= 0:
-                    seqs.append(EliasFano(n, width, arrays[at].view(np.uint8), arrays[at + 1].view("<u8")))
+                    seqs.append(EliasFano(n, width, arrays[at].view(np.uint8), arrays[at + 1].view(np.uint8)))
                     at += 2
             self.marks.append((arrays[at].view(np.uint8), arrays[at + 1].view(np.uint8)))
             at += 2
@@ -253,52 +242,60 @@ def block_rows(docs: DataFrame) -> DataFrame:
                 learn = np.repeat(part.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(ends, prepend=0))
                 n = np.bincount(tokens[learn], minlength=len(words))
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                columns = [pa.array([block]), one(part.column("id")), one(part.column("learn")), pa.array([pack(ends)], pa.binary()), pa.array([pack(tokens)], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([pack(n)], pa.binary()), pa.array([len(tokens)])]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "learn", "ends", "tokens", "words", "n", "size"])
+                columns = [pa.array([block]), one(part.column("id")), one(part.column("learn")), pa.array([pack(ends)], pa.binary()), pa.array([pack(tokens)], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([pack(n)], pa.binary()), pa.array([len(tokens)]), pa.array([len(words)])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "learn", "ends", "tokens", "words", "n", "size", "distinct"])
                 block += 1
 
-    return docs.mapInArrow(cut, f"block long, ids array<{kind}>, learn array<boolean>, ends binary, tokens binary, words binary, n binary, size long")
+    return docs.mapInArrow(cut, f"block long, ids array<{kind}>, learn array<boolean>, ends binary, tokens binary, words binary, n binary, size long, distinct long")
 
 
-def word_rows(blocks: DataFrame) -> DataFrame:
-    """``word, block, n``: each block's words and their numbers in its training documents."""
+def with_numbers(blocks: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks whose words are replaced by their numbers plus one (0: not in training) and counts, and one row a shard of
+    words: ``train_tokens, train_words``.
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Words are dealt to shards by their digests and ranked in each by frequency;
+    a word's number is its rank times the shards, plus its shard: frequent
+    words have small numbers without a sort of all words.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words, n in zip(batch.column("block"), batch.column("words"), batch.column("n")):
-                words = np.frombuffer(words.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.full(len(words), block.as_py())), pa.array(unpack(n.as_py())[0])], ["word", "block", "n"])
-
-    return blocks.select("block", "words", "n").mapInArrow(spread, "word long, block long, n long")
-
-
-def ranked(words: DataFrame) -> DataFrame:
-    """``word, n`` of the words of training documents to ``word, n, number``: 0 for the most frequent."""
-    placed = words.repartitionByRange(F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word").withColumn("at", F.monotonically_increasing_id())
-    placed = stored(placed, "lm-vocabulary")
-    part, sizes = F.shiftright("at", 33).cast("int"), {}
-    for p, size in placed.groupBy(part.alias("part")).agg(F.count("*")).collect():
-        sizes[p] = size
-    before = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes, default=0)))]).tolist()
-    offset = F.get(F.split(F.lit(",".join(map(str, before))), ",").cast("array<long>"), part)
-    return placed.select("word", "n", (offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"))
-
-
-def numbered(blocks: DataFrame, vocabulary: DataFrame, words: DataFrame) -> DataFrame:
-    """Blocks whose words are replaced by their numbers plus one (0: not in training) and counts."""
-    answers = words.select("word", "block").join(vocabulary, "word")
-
-    def put(block: pa.Table, known: pa.Table) -> pa.Table:
-        words = np.frombuffer(block.column("words")[0].as_buffer(), np.int64)
-        order = np.argsort(words)
-        at = order[np.searchsorted(words, known.column("word").to_numpy(), sorter=order)]
-        number, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        number[at], n[at] = known.column("number").to_numpy() + 1, known.column("n").to_numpy()
-        return block.drop_columns(["words", "n", "size"]).append_column("known", pa.array([pack(number, n)], pa.binary()))
-
-    kept = [f for f in blocks.schema if f.name not in ("words", "n", "size")]
+            for block, words, n in zip(batch.column("block").to_pylist(), batch.column("words"), batch.column("n")):
+                words = np.frombuffer(words.as_buffer(), np.uint64)
+                order = np.argsort(words)
+                words, n = words[order], unpack(n.as_py())[0][order]
+                shard = ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+                edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+                cut = list(zip(edges[:-1], edges[1:]))
+                columns = [pa.array(shard[edges[:-1]]), pa.array([block] * len(cut), pa.int64()), pa.array([words[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([pack(n[a:b]) for a, b in cut], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "words", "n"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        parts, shard = [np.frombuffer(w.as_buffer(), np.uint64) for w in asked.column("words")], asked.column("shard")[0].as_py()
+        distinct, at = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(at, np.concatenate([unpack(n.as_py())[0] for n in asked.column("n")]), len(distinct)).astype(np.int64)
+        by_number = np.argsort(-total, kind="stable")
+        number = np.empty(len(distinct), np.int64)
+        number[by_number] = np.arange(len(distinct)) * shards + shard + 1
+        number[total == 0] = 0
+        replies = [pack(number[x], total[x]) for x in np.split(at, np.cumsum([len(p) for p in parts])[:-1])]
+        none = [None] * len(replies)
+        return pa.table({"shard": pa.array([shard] * (len(replies) + 1), pa.int32()), "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()), "reply": pa.array([*replies, None], pa.binary()), "train_tokens": pa.array([*none, int(total.sum())], pa.int64()), "train_words": pa.array([*none, int((total > 0).sum())], pa.int64())})
+
+    asked = blocks.select("block", "words", "n").mapInArrow(ask, "shard int, block long, words binary, n binary")
+    replies = stored(asked.groupBy("shard").applyInArrow(answer, "shard int, block long, reply binary, train_tokens long, train_words long"), "lm-words")
+
+    def put(block: pa.Table, replies: pa.Table) -> pa.Table:
+        order = np.argsort(np.frombuffer(block.column("words")[0].as_buffer(), np.uint64))
+        known = [unpack(replies.column("reply")[int(i)].as_py()) for i in np.argsort(replies.column("shard").to_numpy())]
+        number, n = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        number[order], n[order] = (np.concatenate([k[i] for k in known]) for i in (0, 1))
+        return block.drop_columns(["words", "n", "size", "distinct"]).append_column("known", pa.array([pack(number, n)], pa.binary()))
+
+    kept = [f for f in blocks.schema if f.name not in ("words", "n", "size", "distinct")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", known binary"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put, schema)
+    told = replies.filter("block IS NOT NULL").select("block", "shard", "reply")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(put, schema), replies.filter("block IS NULL").select("train_tokens", "train_words")
 
 
 class Block:
@@ -355,26 +352,42 @@ def question(data: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(np.cumsum(gap), size), second, np.repeat(first_n, size), pair_n, np.repeat(np.arange(len(second)), children), third, triple_n
 
 
-def shard_trie(first: np.ndarray, second: np.ndarray, first_n: np.ndarray, pair_n: np.ndarray, pair: np.ndarray, third: np.ndarray, triple_n: np.ndarray, prior: tuple[float, ...]) -> bytes:
-    """The trie of all pairs and triples of a shard that occur in training."""
-
-    def add(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        seen = n > 0
-        distinct, at = np.unique(keys[seen], return_inverse=True)
-        total = np.bincount(at, n[seen], len(distinct)).astype(np.int64)
-        return distinct, np.searchsorted(distinct, keys), total
-
-    pairs, node, pair_total = add(first << 32 | second, pair_n)
-    triples, _, triple_total = add(node[pair] << 32 | third, triple_n)
-    word, at = np.unique(pairs >> 32, return_inverse=True)
-    seen = pair_n > 0
-    firsts = np.zeros(len(pairs))
-    firsts[node[seen]] = first_n[seen]
-    none = np.zeros(0, np.uint8)
-    levels = [(np.zeros(len(word), np.int64), word, none, none), (at, pairs & 0xFFFFFFFF, quantised(pair_total / (firsts + prior[0])), quantised(prior[1] / (pair_total + prior[1])) if len(prior) > 1 else none)]
-    if len(prior) > 1:
-        levels.append((triples >> 32, triples & 0xFFFFFFFF, quantised(triple_total / (pair_total[triples >> 32] + prior[1])), none))
-    return Trie.built(levels)
+class Shard:
+    """What all blocks ask of a shard: its distinct ``pairs`` and ``triples``, where each question is among them, and their
+    numbers in training."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, first_n: np.ndarray, pair_n: np.ndarray, pair: np.ndarray, third: np.ndarray, triple_n: np.ndarray):
+        self.pairs, self.pair_at = np.unique(first << 32 | second, return_inverse=True)
+        self.pair_n = np.bincount(self.pair_at, pair_n, len(self.pairs)).astype(np.int64)
+        self.first_n = np.zeros(len(self.pairs), np.int64)
+        self.first_n[self.pair_at] = first_n
+        self.triples, self.triple_at = np.unique(self.pair_at[pair] << 32 | third, return_inverse=True)
+        self.triple_n = np.bincount(self.triple_at, triple_n, len(self.triples)).astype(np.int64)
+
+    def trie(self, prior: tuple[float, ...]) -> bytes:
+        """The trie of all pairs and triples that occur in training."""
+        seen, seen3, none = self.pair_n > 0, self.triple_n > 0, np.zeros(0, np.uint8)
+        pairs, n, triples = self.pairs[seen], self.pair_n[seen], self.triples[seen3]
+        word, at = np.unique(pairs >> 32, return_inverse=True)
+        more = len(prior) > 1
+        levels = [(np.zeros(len(word), np.int64), word, none, none), (at, pairs & 0xFFFFFFFF, quantised(n / (self.first_n[seen] + prior[0])), quantised(prior[1] / (n + prior[1])) if more else none)]
+        if more:
+            above = (np.cumsum(seen) - 1)[triples >> 32]
+            levels.append((above, triples & 0xFFFFFFFF, quantised(self.triple_n[seen3] / (n[above] + prior[1])), none))
+        return Trie.built(levels)
+
+    def replies(self, trie: Trie) -> list[np.ndarray]:
+        """The bytes of each question's pairs (two kinds) and triples; 0 for what training does not have."""
+
+        def marks(level: int, kind: int, node: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return np.append(trie.marks[level][kind], np.uint8(0))[node][at]  # -1 is the one after the last
+
+        word, at = np.unique(self.pairs >> 32, return_inverse=True)
+        node = trie.child(1, trie.child(0, np.zeros_like(word), word)[at], self.pairs & 0xFFFFFFFF)
+        out = [marks(1, 0, node, self.pair_at)]
+        if len(trie.keys) > 2:
+            out += [marks(1, 1, node, self.pair_at), marks(2, 0, trie.child(2, node[self.triples >> 32], self.triples & 0xFFFFFFFF), self.triple_at)]
+        return out
 
 
 def answers(blocks: DataFrame, shards: int, prior: tuple[float, ...]) -> DataFrame:
@@ -393,20 +406,13 @@ def answers(blocks: DataFrame, shards: int, prior: tuple[float, ...]) -> DataFra
         offset = np.repeat(np.cumsum([0, *sizes[:-1]]), size3)
         whole = [np.concatenate([p[i] for p in parts]) for i in range(7)]
         whole[4] = whole[4] + offset
-        data = shard_trie(*whole, prior)
-        trie = Trie.mapped(data)
-        first, second, _, _, pair, third, _ = whole
-        node = trie.child(1, trie.child(0, np.zeros_like(first), first), second)
-        found = np.where(node >= 0, trie.marks[1][0][node], 0) if len(trie.marks[1][0]) else np.zeros(len(node), np.int64)
-        replies = [found]
-        if len(prior) > 1:
-            replies.append(np.where(node >= 0, trie.marks[1][1][node], 0) if len(trie.marks[1][1]) else found)
-            last = trie.child(2, node[pair], third)
-            replies.append(np.where(last >= 0, trie.marks[2][0][last], 0) if len(trie.marks[2][0]) else np.zeros(len(last), np.int64))
+        shard = Shard(*whole)
+        data = shard.trie(prior)
+        replies = shard.replies(Trie.mapped(data))
         cuts = [np.cumsum(size3 if i == 2 else sizes)[:-1] for i in range(len(replies))]
         rows = [pack(*row) for row in zip(*(np.split(r, c) for r, c in zip(replies, cuts)))]
-        shard = asked.column("shard")[0].as_py()
-        return pa.table({"shard": pa.array([shard] * (len(rows) + 1), pa.int32()), "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()), "bytes": pa.array([*rows, None], pa.binary()), "trie": pa.array([None] * len(rows) + [data], pa.binary())})
+        number = asked.column("shard")[0].as_py()
+        return pa.table({"shard": pa.array([number] * (len(rows) + 1), pa.int32()), "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()), "bytes": pa.array([*rows, None], pa.binary()), "trie": pa.array([None] * len(rows) + [data], pa.binary())})
 
     asked = blocks.mapInArrow(ask, "shard int, block long, question binary")
     return asked.groupBy("shard").applyInArrow(answer, "shard int, block long, bytes binary, trie binary")
@@ -428,12 +434,14 @@ def score(docs: DataFrame, learn: Column, prior: tuple[float, ...] = PRIOR) -> t
     if not 1 <= len(prior) <= 2:
         raise ValueError("contexts have one word or two")
     kind = docs.schema["id"].dataType.simpleString()
-    blocks = stored(block_rows(docs.select("id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))), "lm-blocks")
-    words = word_rows(blocks)
-    vocabulary = ranked(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    shards = max(1, math.ceil((blocks.agg(F.sum("size")).head()[0] or 0) / SHARD))
-    blocks = stored(numbered(blocks, vocabulary, words), "lm-numbered")
+    spark, cut = docs.sparkSession, shared_dir(docs.sparkSession, "lm-blocks")
+    block_rows(docs.select("id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))).write.parquet(cut)
+    blocks = spark.read.parquet(cut)
+    size, distinct = (max(1, math.ceil((x or 0) / SHARD)) for x in blocks.agg(F.sum("size"), F.sum("distinct")).head())
+    shards, (blocks, totals) = size, with_numbers(blocks, distinct)
+    blocks = stored(blocks, "lm-numbered")
+    discard(spark, cut)
+    total, distinct = totals.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_words"), F.lit(0))).head()
     replies = stored(answers(blocks, shards, prior), "lm-answers")
 
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
