@@ -313,7 +313,10 @@ def test_archives_round_trip(spark):
     df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
     path = shared_dir(spark, "t")
     warc.write_archives(warc.records(warc.deduplicated(df, "page_id", F.coalesce("html", F.lit("")))), path, 3)
-    got = sorted((r["id"].split(":")[-1].split("/")[0], r["type"], (r["payload"] or b"").decode(), r["payload_bytes"], (r["refers"] or "").split(":")[-1]) for r in warc.read_pages(spark, path).collect())
+    back = warc.read_pages(spark, path).collect()
+    assert len({r["id"] for r in back}) == len(rows) and {r["refers"] for r in back if r["refers"]} <= {r["id"] for r in back if r["type"] == "response"}
+    key = lambda name: (name or "").split(":")[-1].split("/")[0]
+    got = sorted((key(r["id"]), r["type"], (r["payload"] or b"").decode(), r["payload_bytes"], key(r["refers"])) for r in back)
     first = {"4": "1", "9": "8"}
     assert got == sorted((str(i), "revisit" if str(i) in first else "response", "" if str(i) in first else t or "", len((t or "").encode()), first.get(str(i), "")) for i, _, t in rows)
     kinds = collections.Counter(r["type"] for r in warc.read_records(spark, path).collect())
@@ -614,6 +617,24 @@ def test_pipeline_stages(spark):
     assert after.count() == before.count()
 
 
+#: Names that the operators use inside.
+INSIDE = ("_tie", "_row", "_asked", "_piece", "_bitmap", "_salt", "_seen", "_likely", "_found", "row", "tie", "key", "asked", "gone_id", "found", "n_words", "n_symbols", "node", "root", "n", "e")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    base, sf = [prose(60) for _ in range(6)], "/root/testdata/sf0.001"
+    rows = [(i, t, "en", "a", i, *[f"{c}-{i}" if i % 2 else None for c in INSIDE]) for i, t in enumerate([*base, base[0], base[0] + " end", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in INSIDE))
+    for name, stage, left in (("quality", corpus_pipeline.quality, set(range(8))), ("near_dedup", corpus_pipeline.near_dedup, {0, 1, 2, 3, 4, 5, 8}), ("decontamination", corpus_pipeline.decontamination, set(range(9))), ("secrets", corpus_pipeline.secrets, set(range(9)))):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert sorted(map(tuple, out.collect()), key=str) == sorted((r for r in rows if r[0] in left), key=str), name
+    assert corpus_pipeline.mixing(spark, docs, sf).count() == 9
+    assert quality.with_features(docs).filter("n_words = 60").count() == 7
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark, odd):
     import corpus_pipeline
 

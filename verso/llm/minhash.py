@@ -276,18 +276,20 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     hashed keys leaves the others where they are. Null and empty texts stay;
     null ids come last; an empty table stays empty; all columns are kept.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    tie = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull(), *([F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))] if others else []))
-    keyed = docs.withColumn("_tie", tie).withColumn("_row", F.xxhash64("doc_id", "_tie"))
-    found = components_of(keyed.select("doc_id", F.col("_tie").alias("tie"), "text"), width, percent, bands, rows, pivot_rounds)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull(), *([F.to_json(F.struct(*others))] if others else []))
+    # the row is one column from here on, so that its names meet none of those below
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", tie.alias("tie"))
+    found = components_of(keyed.select("doc_id", "tie", "text"), width, percent, bands, rows, pivot_rounds)
     stays = F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("tie") == F.col("component.tie"))
     each = found.groupBy("doc_id", "tie").agg(F.min(stays).alias("stays"), F.count("*").alias("rows"))
-    marked = stored(each.filter("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), F.xxhash64("doc_id", "tie").alias("_row"), "stays"), "near-marked")
-    rows_ = flagged(keyed, marked, "_row", "_asked")
-    gone = marked.filter("not stays").select("_row", "_id", "_t")
-    asked = rows_.filter("_asked").dropDuplicates(["_row", "doc_id", "_tie"])
-    asked = asked.join(gone, (asked["_row"] == gone["_row"]) & asked["doc_id"].eqNullSafe(gone["_id"]) & (asked["_tie"] == gone["_t"]), "left_anti")
-    return rows_.filter("not _asked").unionByName(asked).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64("doc_id", "tie").alias("key")
+    marked = stored(each.filter("not stays or rows > 1").select("doc_id", "tie", key, "stays"), "near-marked")
+    all_rows = flagged(keyed.select("row", "doc_id", "tie", key), marked, "key", "asked")
+    gone = marked.filter("not stays").select("key", F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie"))
+    asked = all_rows.filter("asked").dropDuplicates(["key", "doc_id", "tie"])
+    asked = asked.join(gone, (asked["key"] == gone["key"]) & asked["doc_id"].eqNullSafe(gone["gone_id"]) & (asked["tie"] == gone["gone_tie"]), "left_anti")
+    return all_rows.filter("not asked").unionByName(asked).select("row.*")
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -126,10 +126,11 @@ MORE_RULES = (
 
 
 def with_features(docs: DataFrame, text: str = "text", names: tuple[str, ...] = tuple(FEATURES)) -> DataFrame:
-    """``docs`` with the named feature columns; null text counts as empty."""
+    """``docs`` with the named feature columns, in place of columns of these names; null text counts as empty."""
     value = F.coalesce(F.col(text), F.lit(""))
     found = let(words_of(value), lambda w: F.struct(*[FEATURES[n](value, w).alias(n) for n in names]))
-    return docs.withColumn("_found", found).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col("_found")[n].alias(n) for n in names])
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    return docs.select(kept.alias("row"), found.alias("found")).select("row.*", "found.*")
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = 256) -> list[tuple[Rule, float, float]]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verso.llm.common import shared_dir, stored, table
+from verso.llm.common import even_join, shared_dir, stored, table, with_few
 
 CRLF = "\r\n"
 #: Payloads below this many bytes are not worth a revisit record.
@@ -39,17 +39,17 @@ def deduplicated(pages: DataFrame, key: str, payload: Column, least: int = REVIS
     """``key, uri, payload, digest, size`` with ``refers_to``: the smallest key among equal payloads of at
     least ``least`` bytes, null for that record itself and for smaller ones.
 
-    The smallest key of a digest is a partial aggregate; the join back spreads
-    a frequent digest over salted copies of its one row.
+    The smallest key of a digest is a partial aggregate; only payloads that
+    occur more than once are shuffled to find it. ``uid`` tells rows apart whose
+    keys are equal, and ``refers_uid`` which of them a repeat refers to.
     """
-    salts = 16
-    row = pages.select(F.col(key).alias("key"), F.col("url").alias("uri"), payload.alias("payload"))
+    row = pages.select(F.col(key).alias("key"), F.col("url").alias("uri"), payload.alias("payload"), F.monotonically_increasing_id().alias("uid"))
     row = row.withColumns({"size": _bytes(F.col("payload")), "digest": F.sha2(F.col("payload"), 256)})
-    first = row.filter(F.col("size") >= least).groupBy("digest").agg(F.min("key").alias("refers_to"), F.max("key").alias("last"), F.count("*").alias("n"))
-    first = first.filter("n > 1 and refers_to < last").select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    row = row.withColumn("salt", F.pmod(F.xxhash64("key", "uri"), F.lit(salts)).cast("int"))
-    out = row.join(first, ["digest", "salt"], "left")
-    return out.select("key", "uri", "payload", "digest", "size", F.when(F.col("refers_to") < F.col("key"), F.col("refers_to")).alias("refers_to"))
+    first = row.filter((F.col("size") >= least) & F.col("key").isNotNull()).groupBy("digest").agg(F.min(F.struct("key", "uid")).alias("first"), F.max("key").alias("last"))
+    first = stored(first.filter("first.key < last").select("digest", F.col("first.key").alias("refers_to"), F.col("first.uid").alias("refers_uid")), "warc-repeats")
+    out = with_few(row, first, "digest", ("uid",))
+    repeats = F.col("refers_to") < F.col("key")
+    return out.select("key", "uid", "uri", "payload", "digest", "size", F.when(repeats, F.col("refers_to")).alias("refers_to"), F.when(repeats, F.col("refers_uid")).alias("refers_uid"))
 
 
 def _record_id(c: Column) -> Column:
@@ -67,12 +67,14 @@ def chunked(payload: Column, chunk_chars: int) -> Column:
 def records(rows: DataFrame, chunk_chars: int = 8192, segment_chars: int = 32768) -> DataFrame:
     """Rows of :func:`deduplicated` to the text of their WARC records, column ``value``.
 
-    Record identifiers join the key to a row number of the running task, so
-    that repeated rows stay records of their own.
+    Record identifiers join the key to the number that tells equal keys apart,
+    so that repeated rows stay records of their own, and a repeat names the
+    record that it refers to.
     """
     head = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Transfer-Encoding: chunked{CRLF}{CRLF}")
     revisit = F.col("refers_to").isNotNull()
-    row = rows.withColumn("id", F.concat(F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit("/"), F.monotonically_increasing_id().cast("string")))
+    row = rows.withColumn("id", F.concat(F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit("/"), F.col("uid").cast("string")))
+    row = row.withColumn("refers_to", F.concat(F.col("refers_to").cast("string"), F.lit("/"), F.col("refers_uid").cast("string")))
     row = row.withColumn("block", F.when(revisit, F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}X-Payload-Length: "), F.col("size").cast("string"), F.lit(CRLF + CRLF))).otherwise(F.concat(head, chunked(F.col("payload"), chunk_chars))))
     row = row.withColumns({"total": _bytes(F.col("block")), "sum": F.sha2(F.col("block"), 256)})
     starts = F.sequence(F.lit(1), F.length("block"), F.lit(segment_chars))
@@ -95,7 +97,7 @@ def records(rows: DataFrame, chunk_chars: int = 8192, segment_chars: int = 32768
         line("WARC-Target-URI", uri),
         line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
         where(first, line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.col("sum")))),
-        where(first & F.col("refers_to").isNotNull(), line("WARC-Refers-To", F.concat(F.lit("<"), _record_id(F.coalesce(F.col("refers_to"), F.lit(0))), F.lit(">")))),
+        where(first & F.col("refers_to").isNotNull(), line("WARC-Refers-To", F.concat(F.lit("<"), _record_id(F.coalesce(F.col("refers_to"), F.lit(""))), F.lit(">")))),
         where(split, line("WARC-Segment-Number", (F.col("at") + 1).cast("string"))),
         where(~first, line("WARC-Segment-Origin-ID", F.concat(F.lit("<"), _record_id(F.col("id")), F.lit(">")))),
         where(split & final, line("WARC-Segment-Total-Length", F.col("total").cast("string"))),
@@ -169,7 +171,7 @@ def reassemble(found: DataFrame) -> DataFrame:
     numbers = F.transform("segments", lambda s: s["segment"])
     size = F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + F.octet_length(s["block"]))
     good = (numbers == F.sequence(F.lit(1), F.size("segments"))) & (size == F.col("total")) & F.col("head").isNotNull()
-    block = F.aggregate("segments", F.lit(b""), lambda a, s: F.concat(a, s["block"]))
+    block = F.unhex(F.array_join(F.transform("segments", lambda s: F.hex(s["block"])), ""))
     fault = F.raise_error(F.concat(F.lit("incomplete segments of "), F.col("origin"))).cast("binary")
     joined = one.select(F.col("origin").alias("id"), "head.*", F.when(F.coalesce(good, F.lit(False)), block).otherwise(fault).alias("block"))
     return whole.unionByName(joined)
@@ -222,22 +224,23 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     write_archives(records(deduplicated(pages, "page_id", F.coalesce("html", F.lit("")))), path)
     back = read_pages(spark, path).drop("payload")
-    page = F.substring_index(F.element_at(F.split("id", ":"), -1), "/", 1)
-    key = F.when(page != "null", page.cast("long"))
-    refers = F.element_at(F.split("refers", ":"), -1).cast("long")
-    row = back.select(key.alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), refers.alias("refers_to"))
+    row = back.select("id", key_of(F.col("id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers")
     return resolve_revisits(stored(row, "warc-read"))
 
 
+def key_of(record_id: Column) -> Column:
+    """The page of a record; null where it had none."""
+    return F.substring_index(F.element_at(F.split(record_id, ":"), -1), "/", 1).try_cast("long")
+
+
 def resolve_revisits(row: DataFrame) -> DataFrame:
-    """Fill the digests of revisits from the responses that they refer to, spreading frequent ones by salt."""
-    salts = 16
-    wanted = row.filter("record_type = 'revisit'").select("refers_to").distinct()
-    known = row.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("known")).dropDuplicates(["refers_to"])
-    known = known.join(wanted, "refers_to", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    revisit = row.filter("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(known, ["refers_to", "salt"], "left")
-    revisit = revisit.select("page_id", "payload_bytes", F.col("known").alias("payload_digest"), "record_type", "refers_to")
-    return row.filter("record_type = 'response'").unionByName(revisit)
+    """Fill the digests of revisits from the records that they refer to; a frequent one is dealt to several tasks."""
+    revisits = row.filter("record_type = 'revisit'")
+    known = row.filter("record_type = 'response'").select(F.col("id").alias("refers"), F.col("payload_digest").alias("known"))
+    known = known.join(revisits.select("refers").distinct(), "refers", "left_semi")
+    found = even_join(revisits, known, "refers", ("id",), "left").withColumn("payload_digest", F.col("known"))
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", key_of(F.col("refers")).alias("refers_to")]
+    return row.filter("record_type = 'response'").select(*names).unionByName(found.select(*names))
 
 
 OP5_SQL = """
