@@ -44,7 +44,7 @@ from verso.session import shared_dir
 #: Weight of the shorter context's distribution for contexts of one word and of two; chosen on held-out rows of the small tables.
 PRIOR = (200.0, 5.0)
 #: Bytes of text of a block, and tokens for which there is one shard.
-BLOCK, SHARD = 12 << 20, 2 << 20
+BLOCK, SHARD = 8 << 20, 1 << 20
 #: Steps a decade of quantised probabilities; a byte of 0 says that there is none.
 STEPS = 25
 #: Ends a text; no word has a line break.
