@@ -79,19 +79,23 @@ def search(chunks: DataFrame, questions: DataFrame, k: int = 20, keep: Column |
     return top(scores(chunks, questions, keep), k)
 
 
-def search_padded(chunks: DataFrame, questions: DataFrame, k: int = 20, scored: DataFrame | None = None) -> DataFrame:
+def search_padded(chunks: DataFrame, questions: DataFrame, k: int = 20, index=None) -> DataFrame:
     """As :func:`search`, filled up to ``k`` with chunks of score zero in corpus order.
 
     A zero ranks above a negative score. Only questions with fewer than ``k``
-    positive scores are filled, from the first chunks: ``k`` more than any of
-    these questions has scored, so that ``k`` unscored ones are among them.
-    ``scored`` has the scores where an index has made them.
+    positive scores are filled, and only of these all scores are made: from the
+    first chunks, ``k`` more than any of them has scored, so that ``k`` unscored
+    ones are among them. ``index`` is a stored index of the chunks.
     """
-    every = scores(chunks, questions) if scored is None else scored
-    many = questions.select("query_id").join(every.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("bm25_score") > 0).alias("up")), "query_id", "left").na.fill(0)
-    needy = many.filter(F.col("up") < k)
-    deepest = needy.agg(F.max("n")).first()[0] or 0
+    found = search(chunks, questions, k) if index is None else index.search(questions, k)
+    up = found.groupBy("query_id").agg(F.count_if(F.col("bm25_score") > 0).alias("up"))
+    needy = questions.join(up.filter(F.col("up") >= k), "query_id", "left_anti")
+    every = scores(chunks, needy) if index is None else index.scores(needy)
+    many = needy.select("query_id").join(every.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").na.fill(0, ["n"])
+    deepest = many.agg(F.max("n")).first()[0] or 0
     first = chunks.select("chunk_id").orderBy("chunk_id").limit(k + deepest).withColumn("place", F.row_number().over(W.orderBy("chunk_id")))
-    fill = needy.select("query_id", F.explode(F.sequence(F.lit(1), (F.col("n") + k).cast("int"))).alias("place")).join(first, "place").drop("place")
+    fill = many.select("query_id", F.explode(F.sequence(F.lit(1), (F.col("n") + k).cast("int"))).alias("place")).join(first, "place").drop("place")
     fill = fill.join(every.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("bm25_score", F.lit(0.0))
-    return top(every.unionByName(fill.select("query_id", "chunk_id", "bm25_score")), k)
+    names = ["query_id", "chunk_id", "bm25_score"]
+    full = found.join(needy.select("query_id"), "query_id", "left_anti").select(names)
+    return top(full.unionByName(every.select(names)).unionByName(fill.select(names)), k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -93,17 +95,34 @@ def register_users(users: DataFrame, existing: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out, left)
 
 
+def row_digest(with_text: bool = True) -> Column:
+    """A digest of a chunk's id, metadata and text."""
+    parts = ["chunk_id", "department", "document_status", "document_type"] + (["text"] if with_text else [])
+    return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts]))
+
+
+def digest_sums(row: Column) -> list[Column]:
+    """Aggregates ``n, s0..s3, x0..x3`` of digests, which do not depend on order and add up: sums by adding, ``x`` by exclusive or."""
+    halves = [F.conv(F.substring(row, i, 8), 16, 10).cast("long") for i in (1, 9, 17, 25)]
+    return [F.count("*").alias("n"), *[F.sum(h).alias(f"s{i}") for i, h in enumerate(halves)], *[F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(halves)]]
+
+
+def checksum_of(sums: Iterable[Sequence[int]]) -> str:
+    """The checksum of a corpus from the sums of its parts, each ``n, s0..s3, x0..x3``."""
+    total = [0] * 9
+    for part in sums:
+        total = [a + b if i < 5 else a ^ b for i, (a, b) in enumerate(zip(total, part))]
+    shown = total if total[0] else [0]  # sums of no rows are null and left out
+    return hashlib.md5("|".join(map(str, shown)).encode()).hexdigest()
+
+
 def corpus_checksum(chunks: DataFrame, with_text: bool = True) -> DataFrame:
     """One row ``checksum, n``: it changes when any chunk's id, metadata or text does.
 
     Digests of rows are folded by exclusive or and by sum, in partial
     aggregates: the checksum does not depend on order and gathers no rows.
     """
-    parts = ["chunk_id", "department", "document_status", "document_type"] + (["text"] if with_text else [])
-    row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts]))
-    halves = [F.conv(F.substring(row, i, 8), 16, 10).cast("long") for i in (1, 9, 17, 25)]
-    sums = [F.sum(h).alias(f"s{i}") for i, h in enumerate(halves)] + [F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(halves)]
-    out = chunks.agg(F.count("*").alias("n"), *sums)
+    out = chunks.agg(*digest_sums(row_digest(with_text)))
     return out.select(F.md5(F.concat_ws("|", "n", *[f"{a}{i}" for a in "sx" for i in range(4)])).alias("checksum"), "n")
 
 

@@ -130,11 +130,11 @@ _INDEXES: dict[tuple[str, str], KeywordIndex] = {}
 
 
 def _index(spark, sf_dir) -> KeywordIndex:
-    """The stored index of a folder of tables; it is built at first use and again when its chunks have changed."""
+    """The stored index of a folder of tables; it is built at first use and follows its files after that."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
         _INDEXES[key] = KeywordIndex(spark, shared_dir(spark, "keywords"))
-    _INDEXES[key].refresh(chunks(spark, sf_dir))
+    _INDEXES[key].refresh(chunks(spark, sf_dir, with_file=True))
     return _INDEXES[key]
 
 
@@ -153,7 +153,7 @@ padded AS (SELECT item_id AS query_id, chunk_id, coalesce(bm25_score, 0) AS bm25
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS bm25_rank FROM padded) WHERE bm25_rank <= 20""".replace("chunk_id, coalesce(bm25", "chunks.chunk_id, coalesce(bm25"))
 def bm25_topk_padded(spark, sf_dir):
     asked = questions(spark, sf_dir)
-    return lexical.search_padded(chunks(spark, sf_dir), asked, scored=_index(spark, sf_dir).scores(asked))
+    return lexical.search_padded(chunks(spark, sf_dir), asked, index=_index(spark, sf_dir))
 
 
 @query(f"""WITH {CHUNKS}, {BM25} SELECT query_id, chunk_id, bm25_score, bm25_rank FROM (

@@ -12,16 +12,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a chunk, with metadata derived from its id."""
+def chunks(spark: SparkSession, sf_dir: str, with_file: bool = False) -> DataFrame:
+    """Each document as a chunk, with metadata derived from its id, and the file it is in if that is asked for."""
     docs = read(spark, sf_dir, "documents")
+    file = [F.col("_metadata.file_path").alias("file")] if with_file else []
 
     def pick(values, by: int):
         return F.get(F.array(*[F.lit(v) for v in values]), F.pmod("doc_id", F.lit(by)).cast("int"))
 
     return docs.select(
         F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(1).alias("page_num"), F.lit(0).alias("chunk_index"), F.col("source").alias("filename"), "text",
-        pick(("", *DEPARTMENTS), 13).alias("department"), pick(STATUSES, 4).alias("document_status"), pick(TYPES, 5).alias("document_type"),
+        pick(("", *DEPARTMENTS), 13).alias("department"), pick(STATUSES, 4).alias("document_status"), pick(TYPES, 5).alias("document_type"), *file,
     )
 
 
