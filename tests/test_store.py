@@ -1,5 +1,8 @@
+import pytest
+
 from verso.operators.store import ChunkStore, ingest
 from verso.sources import files
+from verso.streaming import jobs
 
 
 def test_ingest_patch_and_delete(spark, tmp_path):
@@ -22,3 +25,74 @@ def test_ingest_patch_and_delete(spark, tmp_path):
     assert {r["filename"]: r["department"] for r in store.scan().collect()} == {"a.md": "hr", "b.csv": ""}
     assert store.delete(change) == 1 and store.scan().count() == 1 and store.delete(change) == 0 and store.version() == 3
     assert store.scan(vectors=True).first()["embedding"] is not None
+
+
+def rows_of(store, version=None):
+    return sorted(map(tuple, store.scan(version=version).select("chunk_id", "text", "department").collect()))
+
+
+def chunk_rows(spark, rows):
+    return spark.createDataFrame([(f"{d}_{i}", d, t, [1.0]) for d, i, t in rows], "chunk_id string, doc_id string, text string, embedding array<float>")
+
+
+def test_adding_twice_is_adding_once_and_only_new_rows_are_written(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}/store")
+    q = spark.createDataFrame([(1, "alpha beta")], "query_id int, question string")
+    found = lambda: sorted((r["chunk_id"], r["bm25_score"]) for r in store.index.search(q).collect())
+    store.add(chunk_rows(spark, [("a", i, f"alpha {i}") for i in range(30)] + [("b", 0, "beta"), ("b", 1, "gamma")]))
+    first, hits = rows_of(store), found()
+    store.add(chunk_rows(spark, [("b", 0, "beta"), ("b", 1, "gamma")]))
+    assert rows_of(store) == first and found() == hits and store.version() == 2
+    assert [p["n"] for p in store.manifest.state()["chunks"]] == [32, 2]  # a part of its own
+    store.add(chunk_rows(spark, [("b", 0, "beta beta")]))  # a document that is shorter now
+    assert [r for r in rows_of(store) if r[0][0] == "b"] == [("b_0", "beta beta", "")] and rows_of(store, 1) == first
+    assert "b_1" not in {c for c, _ in found()} and store.delete(spark.createDataFrame([("a",)], "doc_id string")) == 30
+    assert {c for c, _ in found()} == {"b_0"}
+    with pytest.raises(ValueError):
+        store.add(chunk_rows(spark, [("z", 0, "z")]).drop("embedding"))
+
+
+def test_a_batch_is_taken_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text of document {i} " * (4 + i), "s") for i in range(9)] + [(20, "text of document 3 " * 7, "s"), (21, None, "s")], "doc_id long, text string, source string")
+    whole = ChunkStore(spark, f"file://{tmp_path}/whole")
+    pages = jobs.document_pages(docs)
+    ingest(whole, pages.filter("doc_id not in ('20')"))
+
+    folder, state = f"file://{tmp_path}/in", f"file://{tmp_path}/state"
+    stream = lambda: jobs.document_pages(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    for part in ("doc_id < 4", "doc_id >= 4 and doc_id < 20", "doc_id >= 20"):
+        docs.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    store = ChunkStore(spark, f"file://{tmp_path}/store")
+    publish, calls = store.manifest.publish, []
+
+    def dies(state):
+        calls.append(state["version"])
+        if len(calls) == 1:
+            raise RuntimeError("lost before the version is there")
+        version = publish(state)
+        if len(calls) == 3:
+            raise RuntimeError("lost right after")
+        return version
+
+    store.manifest.publish = dies
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            jobs.ingest_pages(stream(), store, state).awaitTermination()
+    jobs.ingest_pages(stream(), store, state).awaitTermination()
+    assert store.version() == 3 and store.manifest.state()["batches"] == {"stream": 2}
+    assert rows_of(store) == rows_of(whole)
+    shown = lambda s: sorted(map(tuple, s.documents().select("doc_id", "status", "chunk_count", "file_hash").collect()))
+    assert shown(store) == shown(whole)
+    q = spark.createDataFrame([(1, "document 3")], "query_id int, question string")
+    assert sorted(map(tuple, store.index.search(q).collect())) == sorted(map(tuple, whole.index.search(q).collect()))
+
+
+def test_a_stream_of_documents_equals_one_batch(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    store, whole = jobs.run_store(spark, sf_dir), ChunkStore(spark, jobs.shared_dir(spark, "whole"))
+    pages = jobs.document_pages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    firsts = {}
+    for r in pages.select("doc_id", "file_hash").collect():
+        firsts[r["file_hash"]] = min(r["doc_id"], firsts.get(r["file_hash"], r["doc_id"]))
+    ingest(whole, pages.filter(pages["doc_id"].isin(list(firsts.values()))))
+    assert rows_of(store) == rows_of(whole) and store.documents().count() == len(firsts)

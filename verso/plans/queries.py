@@ -12,9 +12,10 @@ from verso.functions import text as T
 from verso.functions.patterns import COMPARISON, DEPARTMENTS, INJECTION, JAILBREAK, REFERENTIAL, REFUSALS, STATUSES, SUMMARY, TYPES
 from verso.operators import answering, chunking, evaluation, fusion, guardrails, lexical, observability, planner, predicates, registry, sessions, vector
 from verso.operators.index import KeywordIndex
+from verso.operators.store import NAMES, ChunkStore
 from verso.session import shared_dir
 from verso.sources import files
-from verso.sources.tables import chunks, questions, read, with_vectors
+from verso.sources.tables import as_chunks, chunks, questions, read, with_vectors
 from verso.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +165,74 @@ def bm25_filtered_acl(spark, sf_dir):
     return _index(spark, sf_dir).search(questions(spark, sf_dir), keep=keep)
 
 
+#: What becomes of the documents: some go, some get other words, some come again under new ids.
+CHANGED = """changed AS (
+  SELECT doc_id, CASE WHEN doc_id % 89 = 3 THEN 'other words ' || coalesce(text, '') ELSE text END AS text, source FROM documents WHERE doc_id % 97 <> 5
+  UNION ALL SELECT doc_id + 10000000, text, source FROM documents WHERE doc_id % 101 = 0)"""
+
+
+def _changed(docs):
+    text = F.when(F.col("doc_id") % 89 == 3, F.concat(F.lit("other words "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    again = docs.filter("doc_id % 101 = 0").select(F.col("doc_id") + 10000000, "text", "source")
+    return docs.filter("doc_id % 97 != 5").select("doc_id", text.alias("text"), "source").union(again)
+
+
+@query(f"WITH {CHANGED}, {CHUNKS.replace('FROM documents', 'FROM changed')}, {BM25}, {LEXICAL} SELECT * FROM lex")
+def index_after_changes(spark, sf_dir):
+    """An index of all documents that has taken in their changes by a segment of its own, searched."""
+    index = KeywordIndex(spark, shared_dir(spark, "keywords"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index.refresh(as_chunks(docs))
+    index.refresh(as_chunks(_changed(docs)))
+    return index.search(questions(spark, sf_dir))
+
+
+def _store(spark, sf_dir) -> ChunkStore:
+    """A store of all documents that were added, patched, partly deleted and partly added again: versions 1 to 4."""
+    store = ChunkStore(spark, shared_dir(spark, "store"))
+    rows = chunks(spark, sf_dir).withColumns({"chunk_id": F.col("chunk_id").cast("string"), "doc_id": F.col("doc_id").cast("string"), "embedding": F.lit(None).cast("array<float>")})
+    rows = rows.drop("page_num", "chunk_index")
+    number = F.col("doc_id").cast("long")
+    store.add(rows)
+    store.patch(rows.filter(number % 7 == 3).select("doc_id", F.lit(None).cast("string").alias("document_status"), F.lit(None).cast("string").alias("document_type"), F.lit("hr").alias("department")))
+    store.delete(rows.filter(number % 11 == 5).select("doc_id"))
+    store.add(rows.filter(number % 13 == 2).withColumn("text", F.concat(F.lit("again "), F.coalesce("text", F.lit("")))))
+    return store
+
+
+VERSIONS = f"""{CHUNKS},
+v1 AS (SELECT * FROM chunks),
+v2 AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 3 THEN 'hr' ELSE department END AS department) FROM v1),
+v3 AS (SELECT * FROM v2 WHERE doc_id % 11 <> 5),
+v4 AS (SELECT * FROM v3 WHERE doc_id % 13 <> 2 UNION ALL SELECT * REPLACE ('again ' || coalesce(text, '') AS text) FROM v1 WHERE doc_id % 13 = 2)"""
+
+
+@query("WITH " + VERSIONS + " UNION ALL ".join([""] + [f"SELECT CAST({v} AS BIGINT) AS version, CAST(chunk_id AS VARCHAR) AS chunk_id, department, document_status, md5(coalesce(text, '')) AS digest FROM v{v}" for v in (1, 2, 3, 4)]).replace(" UNION ALL ", " ", 1))
+def store_versions(spark, sf_dir):
+    """What every version of a store holds, read from the parts that it names."""
+    store, out = _store(spark, sf_dir), None
+    for v in (1, 2, 3, 4):
+        rows = store.scan(version=v).select(F.lit(v).alias("version"), "chunk_id", "department", "document_status", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""WITH {VERSIONS}, {BM25.replace("FROM chunks)", "FROM v4)")}
+SELECT query_id, CAST(chunk_id AS BIGINT) AS chunk_id, bm25_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, CAST(chunk_id AS VARCHAR)) AS r FROM scored) WHERE r <= 20""")
+def store_search(spark, sf_dir):
+    """The index that a store has kept with its chunks, searched after its changes."""
+    found = _store(spark, sf_dir).index.search(questions(spark, sf_dir))
+    return found.select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), "bm25_score")
+
+
+@query()
+def stream_store(spark, sf_dir):
+    """Records and chunks of all documents after they have come to a store as a stream."""
+    store = jobs.run_store(spark, sf_dir)
+    chunks_ = store.scan().groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.crc32(F.concat_ws(":", "chunk_id", "text"))).alias("sum"))
+    return store.documents().join(chunks_, "doc_id", "left").select("doc_id", "file_hash", "status", "chunk_count", "chars", "sum")
+
+
 def _vector_chunks(spark, sf_dir):
     return with_vectors(chunks(spark, sf_dir).drop("text"), spark, sf_dir).filter("embedding is not null")
 

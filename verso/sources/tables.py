@@ -14,7 +14,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str, with_file: bool = False) -> DataFrame:
     """Each document as a chunk, with metadata derived from its id, and the file it is in if that is asked for."""
-    docs = read(spark, sf_dir, "documents")
+    return as_chunks(read(spark, sf_dir, "documents"), with_file)
+
+
+def as_chunks(docs: DataFrame, with_file: bool = False) -> DataFrame:
+    """Rows of ``doc_id, source, text`` as chunks."""
     file = [F.col("_metadata.file_path").alias("file")] if with_file else []
 
     def pick(values, by: int):

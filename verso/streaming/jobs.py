@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from verso.operators.observability import limit_key
+from verso.operators.store import ChunkStore
+from verso.operators.store import ingest as ingest_batch
 from verso.session import shared_dir
 
 
@@ -99,6 +101,39 @@ def ingest(stream: DataFrame, registry: str, checkpoint: str):
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_pages(stream: DataFrame, store: ChunkStore, checkpoint: str, source: str = "stream", **sizes: int):
+    """Parse, chunk, embed and index pages as they come: a batch becomes one version of the store, once.
+
+    Pages whose content (``file_hash``) a document holds already, or a smaller
+    ``doc_id`` of the same batch, are left out. The number of the batch is part
+    of the version that it makes: where a job dies after that, the batch that
+    comes again finds its number and changes nothing; where it dies before, no
+    reader has seen any of it.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        if store.manifest.state().get("batches", {}).get(source, -1) >= number:
+            return
+        first = batch.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
+        fresh = first.join(store.held(first), "file_hash", "left_anti").select("doc_id", "file_hash")
+        ingest_batch(store, batch.join(fresh, ["doc_id", "file_hash"], "left_semi"), batch=(source, number), **sizes)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def document_pages(docs: DataFrame) -> DataFrame:
+    """Documents as pages to ingest, one each."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source", F.lit("")).alias("filename"), F.lit(1).alias("page_num"), text.alias("text"), F.array().cast("array<string>").alias("tables"), F.lit(None).cast("string").alias("error"), F.sha2(text, 256).alias("file_hash"))
+
+
+def run_store(spark: SparkSession, sf_dir: str) -> ChunkStore:
+    """A store that all documents have come to as a stream."""
+    store = ChunkStore(spark, shared_dir(spark, "stream-store"))
+    ingest_pages(document_pages(_source(spark, sf_dir, "documents")), store, shared_dir(spark, "stream-state")).awaitTermination()
+    return store
+
+
 def run_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry after all documents have come as a stream."""
     registry, state = shared_dir(spark, "stream-registry"), shared_dir(spark, "stream-state")
