@@ -609,10 +609,8 @@ FROM fold, head GROUP BY p_brand, chunk
 """)
 def table_pack(spark, sf_dir):
     cells = F.array(F.col("p_partkey").cast("string"), "p_name", "p_type")
-    sheet = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", cells.alias("cells")))).alias("r"))
-    header = F.array(F.lit("key"), F.lit("name"), F.lit("type"))
-    packed = chunking.pack_rows(header, F.transform("r", lambda x: x["cells"]), sheet=F.col("p_brand"))
-    return sheet.select("p_brand", F.posexplode(packed).alias("chunk_index", "t")).select("p_brand", "chunk_index", F.md5("t").alias("digest"))
+    packed = chunking.pack_sheets(read(spark, sf_dir, "part"), "p_brand", ["p_partkey"], cells, ["key", "name", "type"])
+    return packed.select(F.col("sheet").alias("p_brand"), "chunk_index", F.md5("text").alias("digest"))
 
 
 @query()
