@@ -120,6 +120,24 @@ def test_spans_that_only_touch_a_table_stay(spark):
     assert {(r["page_num"], r["x0"]) for r in files.outside_tables(spans, tables).collect()} == {(1, 0.0), (2, 5.0)}
 
 
+def test_spans_against_all_pairs_of_boxes(spark):
+    rng = random.Random(3)
+    kind = "doc_id int, page_num int, x0 double, y0 double, x1 double, y1 double"
+
+    def box(i, far):
+        x, y, w, h = rng.uniform(-50, 50), rng.uniform(-50, 50), rng.choice((0.0, 1.0, rng.uniform(0, 9), far)), rng.choice((0.0, 2.0, rng.uniform(0, 9)))
+        return (i % 3, 1, x, y, x + w, y + h)
+
+    spans = [box(i, 40.0) for i in range(250)] + [(0, 1, None, 0.0, 1.0, 1.0), (0, 1, 3.0, 3.0, 1.0, 1.0)]
+    spans += spans[:5]
+    tables = [box(i, 300.0) for i in range(25)] + [(1, 1, 0.0, None, 1.0, 1.0), (2, 1, 0.0, 0.0, 0.0, 0.0)]
+    hit = lambda s, t: s[:2] == t[:2] and None not in s + t and s[2] < t[4] and t[2] < s[4] and s[3] < t[5] and t[3] < s[5]
+    got = files.outside_tables(spark.createDataFrame(spans, kind), spark.createDataFrame(tables, kind)).collect()
+    want = [s for s in spans if not any(hit(s, t) for t in tables)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and 0 < len(want) < len(spans)
+    assert files.outside_tables(spark.createDataFrame(spans, kind), spark.createDataFrame([], kind)).count() == len(spans)
+
+
 def test_prompt_and_messages(spark):
     h = F.array(F.struct(F.lit("user").alias("role"), F.lit("a").alias("text")), F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("text")))
     r = spark.range(1).select(answering.messages(h, answering.prompt(F.lit("q?"), F.lit("[1] c"))).alias("m")).first()["m"]

@@ -393,12 +393,17 @@ _VALUES = ", ".join(f"({i}, {'NULL' if a is None else chr(39) + a + chr(39)}, {'
 
 
 @query(f"""
-SELECT CAST(id AS INT) AS id, array_to_string(list_sort(list_distinct(m)), ',') AS mentioned,
+SELECT CAST(id AS BIGINT) AS id, array_to_string(list_sort(list_distinct(m)), ',') AS mentioned,
        array_to_string(list_sort(list_filter(list_distinct(m), lambda x: NOT contains(lower(coalesce(c, '')), lower(x)))), ',') AS unverified
-FROM (SELECT id, c, regexp_extract_all(coalesce(a, ''), '(?i)Điều\\s+[0-9]+[a-zđ]?') AS m FROM (VALUES {_VALUES}) t(id, a, c))
+FROM (SELECT id, c, regexp_extract_all(coalesce(a, ''), '(?i)Điều\\s+[0-9]+[a-zđ]?') AS m FROM (
+  SELECT doc_id AS id, coalesce(text, '') || ' Theo Điều ' || (doc_id % 17) || ', điều  ' || (doc_id % 5) || 'a và Điều ' || (doc_id % 17) AS a, 'ĐIỀU ' || (doc_id % 13) || '. ' || coalesce(text, '') AS c FROM documents
+  UNION ALL SELECT -id, a, c FROM (VALUES {_VALUES}) t(id, a, c)))
 """)
 def citation_check(spark, sf_dir):
-    row = spark.createDataFrame(CITED, "id int, a string, c string")
+    """Articles that answers made of all documents cite, and those that their contexts do not hold; with the literal ones."""
+    a = "concat(coalesce(text, ''), ' Theo Điều ', doc_id % 17, ', điều  ', doc_id % 5, 'a và Điều ', doc_id % 17)"
+    rows = read(spark, sf_dir, "documents").selectExpr("doc_id as id", f"{a} as a", "concat('ĐIỀU ', doc_id % 13, '. ', coalesce(text, '')) as c")
+    row = rows.unionByName(spark.createDataFrame(CITED, "id long, a string, c string").withColumn("id", -F.col("id")))
     return row.select("id", F.array_join(guardrails.citations(F.col("a")), ",").alias("mentioned"), F.array_join(guardrails.unverified(F.col("a"), F.col("c")), ",").alias("unverified"))
 
 

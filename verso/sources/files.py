@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 import re
 import zipfile
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verso.functions.text import clean, markdown_to_plain
@@ -145,11 +146,43 @@ def pages(found: DataFrame) -> DataFrame:
     return out.filter("error is not null or text != '' or size(tables) > 0")
 
 
+def _cells(boxes: DataFrame, by: tuple[str, ...], wide: float, high: float, levels: list[int]) -> DataFrame:
+    """Boxes with the grid cells that they lie in, on every level on which they are no wider or higher than a cell: four at most each."""
+    low_x, top_x, low_y, top_y = (f(*c) for c in (("x0", "x1"), ("y0", "y1")) for f in (F.least, F.greatest))
+    share = F.greatest((top_x - low_x) / wide, (top_y - low_y) / high)
+    own = F.greatest(F.ceil(F.log2(F.greatest(share, F.lit(1.0)))), F.lit(0)).cast("int")
+    on = boxes.select(*by, "x0", "y0", "x1", "y1", own.alias("own"), F.explode(F.array(*[F.lit(n) for n in levels])).alias("level")).filter("level >= own")
+
+    def cell(x: Column, size: float) -> Column:
+        return F.floor(x / (F.lit(size) * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+
+    on = on.withColumns({"low_x": cell(low_x, wide), "low_y": cell(low_y, high)})
+    on = on.withColumn("cell_x", F.explode(F.sequence("low_x", cell(top_x, wide)))).withColumn("cell_y", F.explode(F.sequence("low_y", cell(top_y, high))))
+    return on
+
+
 def outside_tables(spans: DataFrame, tables: DataFrame, by: tuple[str, ...] = ("doc_id", "page_num")) -> DataFrame:
     """Spans (``x0, y0, x1, y1``) of a page that overlap none of its tables; boxes that only touch do not overlap.
 
-    Equality on the page makes it a hash join; only boxes of one page are compared.
+    Boxes meet in the cells of a grid whose size is the mean of the data's
+    boxes, twice as large on each level above; a pair is tested on the level of
+    its larger box, in the first cell that both have there. So no page is
+    compared box by box, and no box is in more than four cells of a level.
+    Boxes without all numbers overlap nothing.
     """
-    s, t = spans.alias("s"), tables.alias("t")
-    here = reduce(lambda a, b: a & b, [F.col(f"s.{c}") == F.col(f"t.{c}") for c in by])
-    return s.join(t, here & F.expr("s.x0 < t.x1 and t.x0 < s.x1 and s.y0 < t.y1 and t.y0 < s.y1"), "left_anti")
+    sizes = [f(F.abs(F.col(b) - F.col(a))) for a, b in (("x0", "x1"), ("y0", "y1")) for f in (F.avg, F.max)]
+    both = spans.select("x0", "y0", "x1", "y1").unionByName(tables.select("x0", "y0", "x1", "y1"))
+    wide, most_wide, high, most_high = (float(x or 0) for x in both.agg(*sizes).head())
+    wide, high = wide or 1.0, high or 1.0
+    levels = list(range(max(0, math.ceil(math.log2(max(most_wide / wide, most_high / high, 1.0)))) + 1))
+    corners = ["x0", "y0", "x1", "y1"]
+    full = " AND ".join(f"{c} IS NOT NULL" for c in (*by, *corners))
+    s = _cells(spans.filter(full).select(*by, *corners).distinct(), by, wide, high, levels).alias("s")
+    t = _cells(tables.filter(full), by, wide, high, levels).alias("t")
+    here = reduce(lambda a, b: a & b, [F.col(f"s.{c}") == F.col(f"t.{c}") for c in (*by, "level", "cell_x", "cell_y")])
+    once = F.expr("s.level = greatest(s.own, t.own) AND s.cell_x = greatest(s.low_x, t.low_x) AND s.cell_y = greatest(s.low_y, t.low_y)")
+    overlap = F.expr("s.x0 < t.x1 and t.x0 < s.x1 and s.y0 < t.y1 and t.y0 < s.y1")
+    hit = s.join(t, here & once & overlap, "left_semi").select(*by, *corners).distinct()
+    return spans.join(hit, [*by, *corners], "left_anti").select(spans.columns)
+
+
