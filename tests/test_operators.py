@@ -94,6 +94,37 @@ def test_vector_order_and_zero_norm(spark):
     assert [r["chunk_id"] for r in vector.search(c, q, 2).orderBy("vector_rank").collect()] == ["a", "b"]
 
 
+def test_plans_from_replies(spark):
+    long_ = "so sánh mức bồi thường của hai bên"
+    rows = [
+        (1, long_, True, '{"query_type": "comparison"}', 'text {"rewrite": true, "rewritten_query": " rõ hơn "}', '{"sub_queries": [" a ", "", "b"]}'),
+        (2, long_, False, '{"query_type": "comparison"}', '{"rewrite": true, "rewritten_query": "x"}', '{"sub_queries": ["a"]}'),
+        (3, long_, True, "no json", '{"rewrite": true, "rewritten_query": ""}', '{"sub_queries": ["a", "b"]}'),
+        (4, long_, True, None, None, None),
+        (5, "mức phạt", False, '{"query_type": "complex"}', None, '{"sub_queries": ["a", "b"]}'),
+    ]
+    df = spark.createDataFrame(rows, "id int, q string, h boolean, p string, r string, d string")
+    got = {x["id"]: x["plan"] for x in df.select("id", planner.plan(F.col("q"), F.col("h"), F.col("p"), F.col("r"), F.col("d")).alias("plan")).collect()}
+    assert [(got[i]["query_type"], got[i]["source"], got[i]["rewritten_query"], got[i]["sub_queries"]) for i in range(1, 6)] == [
+        ("comparison", "model", "rõ hơn", ["a", "b"]), ("comparison", "model", None, []), ("simple", "fallback", None, []), ("simple", "fallback", None, []), ("simple", "fast_path", None, []),
+    ]
+
+
+def test_parts_and_rewritten_questions_are_searched(spark):
+    rows = [("c1", 1, "alpha one", [1.0, 0.0]), ("c2", 2, "beta two", [0.0, 1.0]), ("c3", 3, "gamma three", [0.7, 0.7])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id int, text string, embedding array<float>").withColumns({"page_num": F.lit(1), "chunk_index": F.lit(0)})
+    word = "so sánh "
+    asked = [
+        (1, word + "alpha với beta", [1.0, 0.0], '{"query_type": "complex"}', None, '{"sub_queries": ["alpha", "beta"]}'),
+        (2, word + "nothing known", [1.0, 0.0], '{"query_type": "simple"}', '{"rewrite": true, "rewritten_query": "beta"}', None),
+    ]
+    q = spark.createDataFrame(asked, "query_id int, question string, query_vector array<float>, plan_reply string, rewrite_reply string, decompose_reply string").withColumns({"doc_id": F.lit(None).cast("int"), "has_history": F.lit(True)})
+    vector_of = lambda t: F.when(t.contains("beta"), F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
+    got = {r["query_id"]: r for r in answering.answer(q, chunks, embed_query=vector_of).collect()}
+    assert got[1]["query_type"] == "complex" and {s["doc_id"] for s in got[1]["sources"][:2]} == {1, 2}
+    assert got[2]["sources"][0]["doc_id"] == 2  # by the vector of the rewritten question
+
+
 def test_merge_subqueries_keeps_the_best(spark):
     f = spark.createDataFrame([(1, 1, "c1", 0.9), (1, 2, "c1", 0.5), (1, 2, "c2", 0.8)], "query_id int, sub_id int, chunk_id string, s double")
     assert [(r["chunk_id"], r["s"]) for r in fusion.merge_subqueries(f, "s").orderBy("merged_rank").collect()] == [("c1", 0.9), ("c2", 0.8)]

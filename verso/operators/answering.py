@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from verso.operators import fusion
 from verso.operators.guardrails import input_reason, sanitize, unverified
 from verso.operators.index import KeywordIndex
-from verso.operators.models import extractive_answer, overlap_score
-from verso.operators.planner import fast_path
+from verso.operators.models import embed, extractive_answer, overlap_score
+from verso.operators.planner import plan
 from verso.operators.predicates import readable
 
 
@@ -45,12 +45,35 @@ def contexts(found: DataFrame, rank: str, separator: str = "\n\n") -> DataFrame:
     return listed.select("query_id", F.array_join(F.transform("s", lambda x: x["t"]), separator).alias("context"))
 
 
-def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", generate: Callable[[Column, Column], Column] = extractive_answer, keep: Column | None = None, index: KeywordIndex | None = None, guard_input: bool = True, guard_retrieval: bool = True, guard_output: bool = True) -> DataFrame:
+def candidates(asked: DataFrame, chunks: DataFrame, strategy: str = "hybrid", keep: Column | None = None, index: KeywordIndex | None = None, embed_query: Callable[[Column], Column] = embed) -> DataFrame:
+    """``query_id, chunk_id, prior``: what is found for planned questions (``query_id, question, query_vector, plan``), in prior order.
+
+    A question with parts is asked part by part; a chunk counts with its best
+    score and the best 15 stay. Any other is asked once, by keywords as it
+    stands and by the vector of its rewritten form, if there is one.
+    """
+    rank, by = ("fusion_rank", "rrf_score") if strategy == "hybrid" else ("vector_rank", "vector_score")
+    several = F.size("plan.sub_queries") > 1
+    vector = F.when(F.col("plan.rewritten_query").isNotNull(), embed_query(F.coalesce("plan.rewritten_query", F.lit(""))).cast("array<float>")).otherwise(F.col("query_vector").cast("array<float>"))
+    once = fusion.retrieve(strategy, chunks, asked.filter(~several).withColumn("query_vector", vector), keep=keep, index=index)
+    once = once.select("query_id", "chunk_id", F.col(rank).cast("int").alias("prior"))
+    parts = asked.filter(several).select("*", F.posexplode("plan.sub_queries").alias("sub_id", "part"))
+    parts = parts.withColumn("query_vector", embed_query(F.col("part")).cast("array<float>")).withColumn("question", F.col("part")).withColumn("key", F.concat_ws("/", F.col("query_id").cast("string"), "sub_id"))
+    keyed = parts.withColumnRenamed("query_id", "asked_by").withColumnRenamed("key", "query_id")
+    found = fusion.retrieve(strategy, chunks, keyed, keep=keep, index=index).select(F.col("query_id").alias("key"), "chunk_id", F.col(by).alias("part_score"))
+    merged = fusion.merge_subqueries(found.join(parts.select("key", "query_id", "sub_id"), "key").drop("key"), "part_score")
+    return once.unionByName(merged.select("query_id", "chunk_id", F.col("merged_rank").cast("int").alias("prior")))
+
+
+def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", generate: Callable[[Column, Column], Column] = extractive_answer, keep: Column | None = None, index: KeywordIndex | None = None, guard_input: bool = True, guard_retrieval: bool = True, guard_output: bool = True, embed_query: Callable[[Column], Column] = embed) -> DataFrame:
     """``query_id, reason, query_type, answer, finish_reason, sources, unverified_citations, sanitized_chunks, citation_warning`` of every question.
 
     ``questions`` has ``query_id, question, query_vector, doc_id, has_history``
     and the user's ``user_department, is_admin``; without these the user is
-    unknown and sees open chunks alone. ``keep`` filters chunks. What a user
+    unknown and sees open chunks alone. Columns ``plan_reply``,
+    ``rewrite_reply`` and ``decompose_reply`` carry what a planning model has
+    said of a question; rewritten questions and parts get their vectors from
+    ``embed_query``. ``keep`` filters chunks. What a user
     may not read is as if it were not there, on every path.
     Blocked questions end with their reason; a summary without a document is
     NO_DOC, one of a document without chunks EMPTY_DOC, a question without hits
@@ -61,7 +84,9 @@ def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", ge
         questions = questions.withColumns({"user_department": F.lit(None).cast("string"), "is_admin": F.lit(False)})
     if "department" not in chunks.columns:
         chunks = chunks.withColumn("department", F.lit(""))
-    q = questions.withColumn("reason", input_reason(F.col("question")) if guard_input else F.lit(None).cast("string")).withColumn("plan", fast_path(F.col("question"), F.coalesce("has_history", F.lit(False)))).withColumn("query_type", F.coalesce("plan.query_type", F.lit("simple")))
+    q = questions.withColumn("reason", input_reason(F.col("question")) if guard_input else F.lit(None).cast("string"))
+    said = [F.col(c) if c in questions.columns else None for c in ("plan_reply", "rewrite_reply", "decompose_reply")]
+    q = q.withColumn("plan", plan(F.col("question"), F.coalesce("has_history", F.lit(False)), *said)).withColumn("query_type", F.col("plan.query_type"))
     open_ = q.filter("reason is null")
     summary, asked = open_.filter("plan.bypass_retrieval"), open_.filter("not plan.bypass_retrieval")
     told_of = summary.filter("doc_id is not null").select("query_id", "doc_id", "user_department", "is_admin")
@@ -69,9 +94,8 @@ def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", ge
     seen = told_of.join(mine, "doc_id").filter(readable(F.col("user_department"), F.col("is_admin")))
     place = W.partitionBy("query_id", "doc_id").orderBy("chunk_index", "page_num")
     ours = seen.withColumn("place", F.row_number().over(place)).filter("place <= 10").select("query_id", "chunk_id", "doc_id", "page_num", "text", F.col("place").alias("rank"))
-    hits = fusion.retrieve(strategy, chunks, asked, keep=keep, index=index)
-    rank = "fusion_rank" if strategy == "hybrid" else "vector_rank"
-    hits = hits.select("query_id", "chunk_id", F.col(rank).alias("prior")).join(chunks, "chunk_id").join(asked.select("query_id", "question"), "query_id")
+    hits = candidates(asked, chunks, strategy, keep, index, embed_query)
+    hits = hits.join(chunks, "chunk_id").join(asked.select("query_id", "question"), "query_id")
     theirs = rerank(hits, "prior").select("query_id", "chunk_id", "doc_id", "page_num", "text", F.col("rerank_rank").alias("rank"))
     found = ours.unionByName(theirs)
     found = sanitize(found) if guard_retrieval else found.withColumns({"sanitized": F.lit(False), "substrings_redacted": F.lit(0)})

@@ -42,5 +42,35 @@ def decode_reply(reply: Column) -> Column:
 
 def subqueries(reply: Column) -> Column:
     """Sub-queries of a decomposition: two to four, else none."""
-    found = F.filter(F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "sub_queries array<string>")["sub_queries"], lambda q: F.trim(q) != "")
+    found = F.filter(F.transform(F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "sub_queries array<string>")["sub_queries"], lambda q: F.trim(q)), lambda q: q != "")
     return F.when(F.size(found).between(2, 4), found).otherwise(F.array().cast("array<string>"))
+
+
+def decode_rewrite(reply: Column) -> Column:
+    """The question as a model has rewritten it, null where it says that it need not be, or gives none."""
+    said = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "rewrite boolean, rewritten_query string")
+    text = F.trim(said["rewritten_query"])
+    return F.when(F.coalesce(said["rewrite"], F.lit(False)) & (text != ""), text)
+
+
+#: Types of questions that are taken apart.
+DECOMPOSED = ("complex", "comparison", "reasoning")
+
+
+def plan(question: Column, has_history: Column, classified: Column | None = None, rewritten: Column | None = None, decomposed: Column | None = None) -> Column:
+    """``query_type, bypass_retrieval, source, rewritten_query, sub_queries`` of a question.
+
+    What the rules leave to a model is read from its replies: the class, the
+    question rewritten by its history, and the parts of a question of a type
+    that is taken apart. A reply that is null or cannot be read means a simple
+    question, one that is not rewritten, and one without parts.
+    """
+    none = F.lit(None).cast("string")
+    fast, model = fast_path(question, has_history), decode_reply(none if classified is None else classified)
+    asks = fast["source"] == "model"
+    kind = F.coalesce(fast["query_type"], model["query_type"])
+    bypass = fast["bypass_retrieval"] | (asks & model["bypass_retrieval"])
+    again = F.when(asks & has_history, decode_rewrite(none if rewritten is None else rewritten))
+    parts = F.when(kind.isin(*DECOMPOSED) & ~bypass, subqueries(none if decomposed is None else decomposed))
+    source = F.when(asks, model["source"]).otherwise(fast["source"])
+    return F.struct(kind.alias("query_type"), bypass.alias("bypass_retrieval"), source.alias("source"), again.alias("rewritten_query"), F.coalesce(parts, F.array().cast("array<string>")).alias("sub_queries"))
