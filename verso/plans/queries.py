@@ -618,6 +618,30 @@ def table_pack(spark, sf_dir):
     return packed.select(F.col("sheet").alias("p_brand"), "chunk_index", F.md5("text").alias("digest"))
 
 
+PAGED = """pages AS (
+  SELECT p_partkey AS doc_id, CAST(n AS BIGINT) AS page_num, repeat(p_name || ' ', CAST(n AS INT)) AS text, [p_type, ' ', p_brand] AS tables FROM part, range(1, 4) r(n))"""
+
+
+@query(f"""WITH {PAGED}, text_chunk AS (SELECT doc_id, page_num, 0 AS chunk_index, false AS is_table, trim(text) AS text FROM pages WHERE length(trim(text)) >= 50),
+table_chunk AS (SELECT p.doc_id, p.page_num, row_number() OVER (PARTITION BY p.doc_id, p.page_num ORDER BY i) - 1 + (CASE WHEN length(trim(p.text)) >= 50 THEN 1 ELSE 0 END) AS chunk_index, true AS is_table, tables[i] AS text
+  FROM pages p, range(1, 4) r(i) WHERE trim(tables[i]) <> '')
+SELECT doc_id || '_p' || page_num || '_c' || chunk_index AS chunk_id, page_num, CAST(chunk_index AS BIGINT) AS chunk_index, is_table, md5(text) AS digest
+FROM (SELECT * FROM text_chunk UNION ALL SELECT * FROM table_chunk)""")
+def page_chunks(spark, sf_dir):
+    """Pages with texts that fit a chunk, or are too short for one, and tables: numbered anew on each page, tables last and whole."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page_num"))
+    pages = part.select(F.col("p_partkey").alias("doc_id"), "page_num", F.expr("repeat(concat(p_name, ' '), page_num)").alias("text"), F.array("p_type", F.lit(" "), "p_brand").alias("tables"))
+    return chunking.chunk_pages(pages).select("chunk_id", "page_num", "chunk_index", "is_table", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {VERSIONS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) AS n FROM v4 WHERE doc_id % 2 = 1 OR doc_id IN (SELECT item_id FROM benchmark) GROUP BY 1")
+def store_lookup(spark, sf_dir):
+    """Which of the asked chunks a store holds now: those of odd ids, of the benchmark's, and some that never were."""
+    asked = read(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 2 = 1").unionByName(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))).distinct()
+    asked = asked.unionByName(asked.select((F.col("doc_id") + 50000000).alias("doc_id"))).select(F.col("doc_id").cast("string").alias("chunk_id"))
+    return _store(spark, sf_dir).has(asked).groupBy(F.col("chunk_id").alias("doc_id")).agg(F.count("*").alias("n"))
+
+
 @query()
 def recursive_chunks(spark, sf_dir):
     pages = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_num"), "text", F.array().cast("array<string>").alias("tables"))
