@@ -544,6 +544,14 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(odd, bench.filter("false")).count() == 0
 
 
+def test_leaks_of_items_shorter_than_a_shingle(spark):
+    items = spark.createDataFrame([(1, "quagga zebra"), (2, "Okapi!"), (3, "one two three four"), (4, "zebra quagga"), (5, "quagga  ZEBRA"), (6, "--")], "item_id long, text string")
+    docs = table(spark, [(1, "a quagga, zebra and quagga zebra", "s"), (2, "the okapi", "s"), (3, "one two three", "s"), (4, "zebra", "s"), (5, None, "s"), (6, "x one two three four y", "s")])
+    got = sorted(tuple(r) for r in decontaminate.find_leaks(docs, items).collect())
+    assert got == [(1, 1, 1.0, 1, 2), (1, 5, 1.0, 1, 2), (2, 2, 1.0, 1, 1), (6, 3, 1.0, 1, 4)]
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {3, 4, 5}
+
+
 def test_leaks_of_long_items_with_scattered_edits(spark):
     """Items of 60 to 500 words with substitutions, insertions and deletions anywhere, against the similarity of the copy itself."""
     rng = random.Random(21)

@@ -30,19 +30,29 @@ PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() els
 LOW = 20
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit shingle hashes of a text and their weights; texts of fewer than five words have none."""
-    words = (text or "").encode().translate(PLAIN).split()
-    m = len(words) - WIDTH + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+def runs(words: list[bytes], width: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``width`` words."""
+    m = max(0, len(words) - width + 1)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    length = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
-    out = np.full(m, np.uint64(WIDTH))
-    for k in range(WIDTH):
+    out = np.full(m, np.uint64(width))
+    for k in range(width):
         out = (out ^ h[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out, np.minimum(length[WIDTH:] - length[:-WIDTH], 255).astype(np.int32)
+    return out
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(PLAIN).split()
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit shingle hashes of a text and their weights, which are their letters, counted up to 255; texts of fewer than
+    five words have none."""
+    words = words_of(text)
+    if len(words) < WIDTH:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    length = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+    return runs(words, WIDTH), np.minimum(length[WIDTH:] - length[:-WIDTH], 255).astype(np.int32)
 
 
 def _prefix(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -86,6 +96,11 @@ class Index:
             whole = _prints(_prefix(x, w), np.zeros(1, np.int64), len(x))[0]
             self.known.append((own, numbers[:, 0], numbers[:, 1], total, whole))
             self.items.append((item_id, len(x), count, weight))
+        #: Items of fewer words than a shingle, by their size: hashes of all their words, and the items.
+        self.short: dict[int, dict[int, list]] = {}
+        for item_id, words in ((i, words_of(t)) for i, t in items):
+            if 0 < len(words) < WIDTH:
+                self.short.setdefault(len(words), {}).setdefault(int(runs(words, len(words))[0]), []).append(item_id)
         order = np.argsort(np.array(keys, np.uint64), kind="stable")
         self.keys, self.owners = np.array(keys, np.uint64)[order], np.array(owners, np.int64)[order]
         self.low = np.zeros(1 << LOW, bool)
@@ -189,7 +204,20 @@ class Index:
         return best
 
     def matches(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
-        """``(item_id, similarity, first word, words)`` of the items that a text holds, the best place of each."""
+        """``(item_id, similarity, first word, words)`` of the items that a text holds, the best place of each. An item of fewer
+        than five words is there where all its words stand in a row."""
+        return self._whole(text) + self._similar(text, least)
+
+    def _whole(self, text: str | None) -> list[tuple[int, float, int, int]]:
+        out, words = [], words_of(text) if self.short else []
+        for size, known in sorted(self.short.items()):
+            x = runs(words, size)
+            there = np.flatnonzero(np.isin(x, np.fromiter(known, np.uint64, len(known))))
+            first = {k: int(i) for i, k in reversed(list(zip(there, x[there].tolist())))}
+            out += [(item, 1.0, i, size) for k, i in sorted(first.items(), key=lambda f: f[1]) for item in known[k]]
+        return out
+
+    def _similar(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
         x, w = shingles(text)
         if not len(x) or not len(self.keys):
             return []
@@ -210,8 +238,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: in
     """``doc_id, item_id, similarity, first_word, n_words`` for every item that a document holds.
 
     Items go to the executors in blocks of bounded size, a pass over the
-    documents for each. Null, empty and shorter than five-word texts and items
-    hold and match nothing; repeated documents and items give repeated rows;
+    documents for each. Items of fewer than five words match where they stand
+    whole, others by stretches of five words and more; null and empty texts and
+    items hold and match nothing; repeated documents and items give repeated rows;
     empty tables give none; texts are read whole; other columns are ignored,
     whatever their names.
     """
