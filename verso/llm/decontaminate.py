@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from verso.llm.common import count_words, table
+from verso.llm.common import count_words, pieces, table
 
 WIDTH = 5
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -252,7 +252,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: in
         index.id_type = to_arrow_type(items.schema["item_id"].dataType)
 
         def look(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 rows = [(i, *m) for i, t in enumerate(batch.column(1).to_pylist()) for m in index.matches(t, least)]
                 columns = list(zip(*rows)) or [()] * 5
                 values = [pa.array(c, k) for c, k in zip(columns[1:], (index.id_type, pa.float64(), pa.int64(), pa.int64()))]
@@ -269,7 +269,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, radius:
         index = Index(block, radius, least)
 
         def look(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([not index.matches(t, least) for t in texts], pa.bool_()))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verso.llm.common import even_join, flagged, likely, stored, table
+from verso.llm.common import even_join, flagged, likely, pieces, stored, table
 from verso.llm.components import merge
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -90,14 +90,17 @@ class Sampler:
 def _describe(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """``docs`` (``doc_id, tie, text``) with ``n, node, bands, sketch`` for the text: node is the digest of the set, null if it is empty.
 
-    Of equal sets in one batch only the first has bands and a sketch, so copies add few rows to their buckets.
+    Of equal sets that come one soon after the other only the first has bands and a sketch, so copies add few rows to their buckets.
     """
     sampler = Sampler(bands, rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, nodes, keys, sketches, seen = [], [], [], [], set()
+        seen: set[bytes] = set()
+        for batch in pieces(batches):
+            if len(seen) > 1 << 14:
+                seen.clear()
+            n, nodes, keys, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 x = shingles(text, width)
                 node = hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None
@@ -118,7 +121,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``node, x``: the sets of the nodes in ``wanted`` (``node, first``), made from the first document of each."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
             nodes = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             # of rows equal in doc_id and text one is enough; others of a batch would be repeated in the join

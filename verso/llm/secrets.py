@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verso.llm.common import table
+from verso.llm.common import pieces, table
 
 #: Patterns of known form, their least length and the group that it counts.
 _NAME = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
@@ -367,7 +367,7 @@ def scan_secrets(docs: DataFrame, model: Field | None = None) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
-        for batch in batches:
+        for batch in pieces(batches):
             found = [all_spans(text, tagger) for text in batch.column(1).to_pylist()]
             kinds = [[k for _, _, k in base] for base, _ in found]
             columns = [pa.array([k.count(name) for k in kinds], pa.int64()) for name in ("assign", "access", "hex")]
@@ -397,7 +397,7 @@ def redact_secrets(docs: DataFrame, model: Field | None = None, mark: str = "[se
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
-        for batch in batches:
+        for batch in pieces(batches):
             at = batch.schema.get_field_index("text")
             texts = [None if x is None else clean(x, tagger) for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
