@@ -120,6 +120,21 @@ def test_spans_that_only_touch_a_table_stay(spark):
     assert {(r["page_num"], r["x0"]) for r in files.outside_tables(spans, tables).collect()} == {(1, 0.0), (2, 5.0)}
 
 
+def test_pages_read_their_range(spark):
+    rows = [(i, i % 7, "n", "", "x") for i in range(203)]
+    docs = spark.createDataFrame(rows, "doc_id int, created_at int, original_name string, department string, document_status string").repartition(6)
+    listed = registry.Listing(docs)
+    assert listed.total == 203 and listed.pages(25) == 9
+    for n in (1, 2, 5, 9, 10):
+        want = registry.listing(docs, page=n, size=25).collect()
+        got = listed.page(n, 25)
+        assert [tuple(r) for r in got.select(listed.rows.drop("at").columns + ["total", "pages"]).collect()] == [tuple(r) for r in want]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    assert sorted(r["position"] for r in listed.numbered().collect()) == list(range(203))
+    assert registry.Listing(docs.filter("false")).page(1).count() == 0
+
+
 def test_spans_against_all_pairs_of_boxes(spark):
     rng = random.Random(3)
     kind = "doc_id int, page_num int, x0 double, y0 double, x1 double, y1 double"

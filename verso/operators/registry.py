@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from verso.functions.patterns import DEPARTMENTS, STATUSES, TYPES
 from verso.operators.predicates import readable
-from verso.session import shared_dir
+from verso.session import shared_dir, stored
 
 
 def content_hash(content: Column) -> Column:
@@ -75,6 +75,43 @@ def listing(docs: DataFrame, search: str | None = None, status: str | None = Non
     return shown.join(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))  # one row
 
 
+class Listing:
+    """Documents in their order, newest first, written once in sorted ranges, so that a page reads the range that it lies in.
+
+    ``at`` counts the rows of a range; the ranges' sizes say where each begins.
+    A page is neither sorted nor skipped to, and totals are known.
+    """
+
+    def __init__(self, docs: DataFrame, order: tuple[Column, ...] | None = None):
+        order = order or (F.desc("created_at"), F.asc("doc_id"))
+        self.rows = stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "listing")
+        sizes = self.rows.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("n")).orderBy("range").collect()
+        self.ranges, self.total = [], 0
+        for r in sizes:
+            self.ranges.append((r["range"] << 33, self.total, r["n"]))
+            self.total += r["n"]
+
+    def pages(self, size: int = 20) -> int:
+        return -(-self.total // size)
+
+    def page(self, number: int, size: int = 20) -> DataFrame:
+        """The rows of a page, in order, with the total and the number of pages."""
+        first, here = (number - 1) * size, F.lit(False)
+        for base, before, n in self.ranges:
+            a, b = max(first, before), min(first + size, before + n)
+            if a < b:
+                here = here | F.col("at").between(base + a - before, base + b - before - 1)
+        shown = self.rows.filter(here).coalesce(1).sortWithinPartitions("at").drop("at")
+        return shown.withColumns({"total": F.lit(self.total).cast("long"), "pages": F.lit(self.pages(size)).cast("long")})
+
+    def numbered(self) -> DataFrame:
+        """All rows with their ``position``, from 0."""
+        before = F.split(F.lit(",".join(str(b) for _, b, _ in self.ranges)), ",").cast("array<long>")
+        bases = F.split(F.lit(",".join(str(a >> 33) for a, _, _ in self.ranges)), ",").cast("array<long>")
+        place = F.array_position(bases, F.shiftright("at", 33)) - 1
+        return self.rows.withColumn("position", F.get(before, place.cast("int")) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at")
+
+
 def register_users(users: DataFrame, existing: DataFrame) -> DataFrame:
     """New users (``user_id, email, username``) whose e-mail and name are both free, as if registered one by one by id.
 

@@ -522,6 +522,15 @@ def registry_list_page(spark, sf_dir):
     return registry.listing(docs, search="SRC1", dept="hr", page=2, size=25).select("doc_id", "original_name", "document_status", "department", "total", "pages")
 
 
+@query(f"""WITH {CHUNKS} SELECT doc_id, CAST((row_number() OVER (ORDER BY filename DESC, doc_id) - 1) // 25 + 1 AS BIGINT) AS page, (row_number() OVER (ORDER BY filename DESC, doc_id) - 1) % 25 AS place
+FROM chunks WHERE department IN ('', 'hr')""")
+def registry_pages(spark, sf_dir):
+    """On which page of a user's listing, and at which place, every document stands, from the counts of sorted ranges."""
+    docs = chunks(spark, sf_dir).filter(predicates.readable("hr")).select("doc_id", "filename")
+    listed = registry.Listing(docs, (F.desc("filename"), F.asc("doc_id"))).numbered()
+    return listed.select("doc_id", (F.floor(F.col("position") / 25) + 1).cast("long").alias("page"), (F.col("position") % 25).alias("place"))
+
+
 @query(f"""WITH {CHUNKS}
 SELECT chunk_id, CASE WHEN filename = 'src1' THEN 'da_thay_the' ELSE document_status END AS document_status, document_type, CASE WHEN filename = 'src1' THEN 'finance' ELSE department END AS department FROM chunks""")
 def metadata_patch(spark, sf_dir):
