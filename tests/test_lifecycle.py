@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -135,6 +136,27 @@ def test_pages_read_their_range(spark):
     assert registry.Listing(docs.filter("false")).page(1).count() == 0
 
 
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    folder, state, seen = f"file://{tmp_path}/in", f"file://{tmp_path}/state", {}
+    schema = "conv_id long, turn long, text string"
+
+    def run(rows, idle):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        with jobs.keyed_state(spark):
+            out = jobs.remembered_for(spark.readStream.schema(schema).parquet(folder), 3, idle)
+            out.writeStream.outputMode("update").foreachBatch(lambda b, _: seen.update({r["conv_id"]: (r["turns"], r["texts"]) for r in b.collect()})).option("checkpointLocation", state).trigger(once=True).start().awaitTermination()
+            held = spark.read.format("statestore").option("stateVarName", "turns").option("flattenCollectionTypes", "true").load(state)
+            return {r["key"]["conv_id"] for r in held.collect()}
+
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert run([(1, t, f"a{t}") for t in (4, 0, 2, 1, 3)] + [(2, 0, None)], 3_600_000) == {1, 2}
+    assert seen == {1: ([2, 3, 4], ["a2", "a3", "a4"]), 2: ([0], [""])}
+    assert run([(1, 5, "a5"), (3, 0, "z")], 1) == {1, 2, 3} and seen[1] == ([3, 4, 5], ["a3", "a4", "a5"])
+    time.sleep(0.1)
+    assert 2 in run([(4, 0, "new")], 3_600_000) and not run([(5, 0, "x")], 3_600_000) & {1, 3}  # 2 still has its hour
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+
+
 def test_spans_against_all_pairs_of_boxes(spark):
     rng = random.Random(3)
     kind = "doc_id int, page_num int, x0 double, y0 double, x1 double, y1 double"

@@ -796,7 +796,16 @@ def stream_rate_limit(spark, sf_dir):
     return jobs.run_limits(spark, sf_dir)
 
 
-@query("""SELECT conv_id, array_to_string(list(turn ORDER BY turn), ',') AS turns, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS digest FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 GROUP BY conv_id""")
+LAST_TURNS = """SELECT conv_id, array_to_string(list(turn ORDER BY turn), ',') AS turns, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS digest FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 GROUP BY conv_id"""
+
+
+@query(LAST_TURNS)
 def stream_sessions(spark, sf_dir):
     return jobs.run_sessions(spark, sf_dir).select("conv_id", F.array_join("turns", ",").alias("turns"), F.md5(F.array_join("texts", "\n")).alias("digest"))
+
+
+@query(LAST_TURNS)
+def stream_sessions_timed(spark, sf_dir):
+    """The same from state that forgets sessions which have been idle for long."""
+    return jobs.run_timed_sessions(spark, sf_dir).select("conv_id", F.array_join("turns", ",").alias("turns"), F.md5(F.array_join("texts", "\n")).alias("digest"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from verso.operators.observability import limit_key
@@ -40,7 +43,7 @@ def run_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-def last_states(updates: DataFrame, key: list[str]) -> DataFrame:
+def last_states(updates: DataFrame, key: list[str], trigger: str = "availableNow") -> DataFrame:
     """Runs a stream of updates over all that is there; the last state of each key. A batch that comes again overwrites itself."""
     spark, values = updates.sparkSession, [c for c in updates.columns if c not in key]
     out, state = shared_dir(spark, "stream-updates"), shared_dir(spark, "stream-state")
@@ -48,7 +51,7 @@ def last_states(updates: DataFrame, key: list[str]) -> DataFrame:
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/b{batch_id}")
 
-    updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(**{trigger: True}).start().awaitTermination()
     spark.createDataFrame([], StructType([*updates.schema, StructField("batch", LongType())])).write.parquet(f"{out}/empty")
     done = spark.read.schema(StructType([*updates.schema, StructField("batch", LongType())])).option("recursiveFileLookup", "true").parquet(out)
     return done.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("s")).select(*key, "s.*")
@@ -84,6 +87,62 @@ def remembered(turns: DataFrame, keep: int = 6) -> DataFrame:
     return said.groupBy("conv_id").applyInPandasWithState(step, f"conv_id long, {kept}", kept, "update", "NoTimeout")
 
 
+class LastTurns(StatefulProcessor):
+    """The last turns of a session as list state; a session that has been idle for ``idle`` milliseconds leaves the state."""
+
+    def __init__(self, keep: int, idle: int):
+        self.keep, self.idle = keep, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # twice the limit, should a timer not have been set
+        self.turns = handle.getListState("turns", "turn long, text string", 2 * self.idle)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = list(self.turns.get()) if self.turns.exists() else []
+        for b in rows:
+            held = sorted(held + list(zip(b["turn"].tolist(), b["text"])), key=lambda x: x[0])[-self.keep :]
+        self.turns.put(held)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        yield pd.DataFrame({"conv_id": [key[0]], "turns": [[int(n) for n, _ in held]], "texts": [[t for _, t in held]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.turns.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """While streams are started that keep state in several variables with timers, which the default store cannot hold."""
+    name, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, own)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def remembered_for(turns: DataFrame, keep: int = 6, idle: int = 3_600_000) -> DataFrame:
+    """As :func:`remembered`, but sessions leave the state ``idle`` milliseconds after their last turn; start it within :func:`keyed_state`.
+
+    Timers ask for one more batch for ever, so such a stream ends with its
+    trigger ``once`` and not with ``availableNow``.
+    """
+    said = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return said.groupBy("conv_id").transformWithStateInPandas(LastTurns(keep, idle), "conv_id long, turns array<long>, texts array<string>", "Update", "ProcessingTime")
+
+
+def run_timed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with keyed_state(spark):
+        return last_states(remembered_for(_source(spark, sf_dir, "conversations")), ["conv_id"], "once")
+
+
 def run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_states(remembered(_source(spark, sf_dir, "conversations")), ["conv_id"])
 
