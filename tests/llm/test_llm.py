@@ -491,6 +491,23 @@ def test_mix_comes_from_the_tree(spark):
     assert plan.count("Generate explode") >= 3 and "collect_list" in plan  # the tree's levels and its leaves
 
 
+def test_shards_are_what_the_tree_deals(spark):
+    """The query's rows: what shards draw of a document is what op9 says is taken; the tree's seed decides where, not how much."""
+    sf = "/root/testdata/sf0.001"
+    rows = mixing.mix_shards(spark, sf).collect()
+    taken = {r["doc_id"]: r["taken"] for r in mixing.op9_mixing(spark, sf).collect() if r["taken"]}
+    drawn, by_shard = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        drawn[r["doc_id"]] += r["words"]
+        by_shard[r["shard"]].append((r["place"], r["doc_id"]))
+    assert drawn == taken and len(by_shard) == 8 and all(v == sorted(v) for v in by_shard.values())
+    other = mixing.mixed_rows(mixing.plan_mix(tables(spark), seed=8)).collect()
+    place = lambda found: {(r["doc_id"], r["pass"]): r["shard"] for r in found}
+    assert place(other) != place(rows)
+    again = place(mixing.mix_shards(spark, sf).collect())
+    assert again == place(rows)
+
+
 def test_splitting_tree_is_exact_and_hypergeometric(spark):
     q = spark.createDataFrame([(1, 40), (2, 0), (3, 17), (4, 7)], "rank int, quota long")
     first = []

@@ -153,6 +153,12 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mix_shards(spark, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents`` as the tree deals it: ``shard, place, doc_id, source, pass, words`` of every draw, each shard
+    in its shuffled order; null texts and sources, repeated rows and empty tables as in ``plan_mix``."""
+    return mixed_rows(plan_mix(table(spark, sf_dir, "documents")))
+
+
 OP9_SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,

@@ -9,7 +9,7 @@ from verso.llm.codes import OP13_SQL, op13_codes
 from verso.llm.decontaminate import op10_decontamination
 from verso.llm.licenses import op3_licenses
 from verso.llm.minhash import OP7_SQL, op7_near_duplicates
-from verso.llm.mixing import OP9_SQL, op9_mixing
+from verso.llm.mixing import OP9_SQL, mix_shards, op9_mixing
 from verso.llm.ngrams import op12_scores
 from verso.llm.quality import OP1_SQL, op1_quality
 from verso.llm.secrets import op4_secrets
@@ -31,6 +31,7 @@ QUERIES = {
     "op11_prefix_trie": op11_prefix_trie,
     "op12_scores": op12_scores,
     "op13_codes": op13_codes,
+    "mix_shards": mix_shards,
     "pipeline": run,
 }
 ORACLES = {
