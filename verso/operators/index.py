@@ -26,6 +26,8 @@ from verso.operators.registry import checksum_of, digest_sums, row_digest
 METADATA = ("doc_id", "filename", "department", "document_status", "document_type")
 #: Questions that are scored together, and terms up to which the reader of the files is told all that are asked for.
 TOGETHER, NAMED = 256, 4096
+#: Blocks up to which all are scored at once: asking for bounds first costs more than it saves.
+FEW = 64
 BOUNDS = "term string, block string, df long, bound double"
 
 
@@ -114,9 +116,10 @@ class Segments:
     def scores(self, state: dict, questions: DataFrame, k: int | None = None, keep: Column | None = None) -> DataFrame:
         """``query_id, chunk_id, bm25_score`` of each question's best ``k`` chunks and perhaps others; of all that share a term with it without ``k``.
 
-        Questions are scored in packs, each against whole blocks. With ``k`` the
-        block whose bounds promise most is scored first; its ``k``-th best is a
-        score that other blocks have to reach by their bounds to be read.
+        Questions are scored in packs, each against whole blocks. With ``k`` and
+        more than a few blocks, the one whose bounds promise most is scored
+        first; its ``k``-th best is a score that other blocks have to reach by
+        their bounds to be read.
         """
         out = questions.select("query_id").withColumn("chunk_id", F.lit(None).cast(state.get("types", {"chunk_id": "string"})["chunk_id"])).withColumn("bm25_score", F.lit(0.0)).filter("false")
         n = questions.count()
@@ -135,28 +138,33 @@ class Segments:
             each = each.join(questions.select("query_id", *users), "query_id")
         pack = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // TOGETHER))).cast("int")
         question = F.struct("query_id", F.col("tw")["term"].alias("terms"), F.col("tw")["w"].alias("weights"), *users)
-        packs = self._kept(each.groupBy(pack.alias("pack")).agg(F.collect_list(question).alias("questions")))
+        packs = each.groupBy(pack.alias("pack")).agg(F.collect_list(question).alias("questions"))
+        mean = state["length"] / max(1, state["n"])
+        if k is None or state["n"] <= FEW * blocks.CHUNKS:
+            every = F.when(F.size("questions") > 0, F.sequence(F.lit(0), F.size("questions") - 1))
+            return self._scored(state, self.table(state, "blocks").crossJoin(packs.withColumn("wanted", every)), mean, k, keep)  # the asked set, in packs
+        packs = self._kept(packs)
         numbered = packs.select("pack", F.posexplode("questions").alias("pos", "q")).select("pack", "pos", F.col("q.query_id").alias("query_id"), F.explode(F.arrays_zip(F.col("q.terms").alias("term"), F.col("q.weights").alias("w"))).alias("t"))
 
-        mean = state["length"] / max(1, state["n"])
         slack = max(1.0, mean / min(s["at"] for s in state["segments"]))
         reach = numbered.join(told.filter("block IS NOT NULL").select(F.col("term").alias("asked"), "block", "bound"), F.col("t.term") == F.col("asked"))
         reach = reach.groupBy("pack", "pos", "query_id", "block").agg(F.sum(F.greatest(F.col("t.w") * F.col("bound") * slack, F.lit(0.0))).alias("reach"))
-        if k is None:
-            return self._scored(state, packs, reach, mean, None, keep)
         reach = self._kept(reach.join(reach.groupBy("pack", "pos").agg(F.max_by("block", F.struct("reach", "block")).alias("best")), ["pack", "pos"]))
-        first = self._kept(self._scored(state, packs, reach.filter("block = best"), mean, k, keep))
+
+        def work(open_: DataFrame) -> DataFrame:
+            wanted = open_.groupBy("pack", "block").agg(F.collect_list("pos").alias("wanted"))
+            return self.table(state, "blocks").join(wanted, "block").join(packs, "pack")
+
+        first = self._kept(self._scored(state, work(reach.filter("block = best")), mean, k, keep))
         limit = top(first, k).filter(F.col("bm25_rank") == k).select("query_id", F.col("bm25_score").alias("limit"))
         open_ = reach.filter("block != best").join(limit, "query_id", "left").filter("limit IS NULL OR reach >= limit - 2e-6")
-        return first.unionByName(self._scored(state, packs, open_, mean, k, keep))
+        return first.unionByName(self._scored(state, work(open_), mean, k, keep))
 
     def _kept(self, rows: DataFrame) -> DataFrame:
         """Rows that several steps read, written once beside the tables."""
         return self.manifest.read([self.manifest.write(rows, "searches")], rows.schema)
 
-    def _scored(self, state: dict, packs: DataFrame, reach: DataFrame, mean: float, k: int | None, keep: Column | None) -> DataFrame:
-        wanted = reach.groupBy("pack", "block").agg(F.collect_list("pos").alias("wanted"))
-        work = self.table(state, "blocks").join(wanted, "block")
+    def _scored(self, state: dict, work: DataFrame, mean: float, k: int | None, keep: Column | None) -> DataFrame:
         none = F.lit(None).cast("array<int>")
         work = work.withColumn("kept", none) if keep is None else work.join(self.table(state, "rows").filter(keep).groupBy("block").agg(F.collect_list("place").alias("kept")), "block")
         if (dead := self.dead(state)) is None:
@@ -165,7 +173,7 @@ class Segments:
             rows = self.table(state, "rows")
             ended = rows.join(dead.groupBy("chunk_id").agg(F.max("died").alias("died")), "chunk_id").filter("died > born")
             work = work.join(ended.groupBy("block").agg(F.collect_list("place").alias("gone")), "block", "left")
-        found = blocks.score(work.join(packs, "pack"), mean, k)
+        found = blocks.score(work, mean, k)
         return found.select("query_id", "chunk_id", F.round("score", 6).alias("bm25_score"))
 
 
