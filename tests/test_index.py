@@ -119,6 +119,30 @@ def test_words_come_back_from_blocks(spark):
     assert {r["chunk_id"]: sorted(r["words"]) for r in back.collect()} == {r["chunk_id"]: sorted(r["words"]) for r in words.collect()}
 
 
+def test_blocks_of_long_texts_are_bounded_and_dealt(spark, monkeypatch):
+    """Long texts fill a block by their words and go to several tasks, as fresh texts and as words of a merge."""
+    monkeypatch.setattr(blocks, "CHUNKS", 64)
+    monkeypatch.setattr(blocks, "WORDS", 2000, raising=False)
+    rows = [(i, "d", " ".join(WORDS[(i + j) % len(WORDS)] for j in range(500 if i % 4 == 0 else 5))) for i in range(400)]
+    texts = spark.createDataFrame(rows, "chunk_id long, department string, text string")
+    words = texts.select("chunk_id", "department", F.split("text", " ").alias("words"))
+    for source in (words, texts):
+        made = blocks.build(source, "s", 400).select("chunk_ids", "lengths", F.spark_partition_id().alias("task")).collect()
+        assert sorted(c for r in made for c in r["chunk_ids"]) == list(range(400))
+        assert all(sum(r["lengths"]) <= 4000 and len(r["lengths"]) <= 64 for r in made)
+        tasks = {}
+        for r in made:
+            tasks[r["task"]] = tasks.get(r["task"], 0) + sum(r["lengths"])
+        assert max(tasks.values()) <= 16000  # of 51,500
+    assert len([r for r in made if max(r["lengths"]) < 500]) < 10  # short texts share blocks
+
+
+def test_cells_follow_lengths():
+    assert blocks.cells([]) == ([0], [1])
+    first, many = blocks.cells([(0, 10, 10), (1, 10, 20), (3, 5 * blocks.CHUNKS, 100), (5, 3, 3 * blocks.WORDS)])
+    assert first == [0, 0, 0, 1, 7, 7] and many == [1, 1, 1, 6, 1, 3]  # class 4 is empty
+
+
 def test_checksums_add_up(spark):
     chunks = spark.createDataFrame([row(i) for i in range(30)], CHUNK)
     parts = [chunks.filter(f"chunk_id % 3 = {i}") for i in range(3)] + [chunks.filter("false")]

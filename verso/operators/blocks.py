@@ -18,9 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verso.functions.text import tokens
+
 K1, B = 1.5, 0.75
-#: Chunks of a block; postings times questions that are scored at once.
-CHUNKS, AT_ONCE = 1024, 1 << 22
+#: Chunks of a block, its words, about, and postings times questions that are scored at once.
+CHUNKS, WORDS, AT_ONCE = 1024, 1 << 19, 1 << 20
+#: Characters of a word, about, and classes of length up to twice a length.
+LETTERS, CLASSES = 6, 8
 #: A block's columns beside the ids of its chunks and their departments.
 POSTINGS = "block string, lengths array<int>, terms array<string>, starts array<int>, places array<short>, counts array<int>"
 
@@ -53,12 +57,48 @@ def _block(rows: pa.Table, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
-def build(words: DataFrame, segment: str, n: int) -> DataFrame:
-    """``chunk_id, department, words`` of ``n`` chunks to a row a block."""
+def cells(counts: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The first cell and the number of cells of each class of length, from ``(class, chunks, words)``: neighbours that fill
+    less than a block share a cell, a class that fills more is dealt to several."""
+    known = {c: (n, w) for c, n, w in counts}
+    first, many, at, held = [], [], 0, (0, 0)
+    for c in range(max(known, default=0) + 1):
+        n, w = known.get(c, (0, 0))
+        k = max(1, -(-7 * n // (6 * CHUNKS)), -(-w // WORDS)) if n > CHUNKS or w > WORDS else 1  # cells are not quite even
+        if held[0] and (k > 1 or held[0] + n > CHUNKS or held[1] + w > WORDS):
+            at, held = at + 1, (0, 0)
+        first.append(at)
+        many.append(k)
+        at, held = (at + k, (0, 0)) if k > 1 else (at, (held[0] + n, held[1] + w))
+    return first, many
+
+
+def build(words: DataFrame, segment: str, n: int, sizes: DataFrame | None = None) -> DataFrame:
+    """``chunk_id, department`` and ``words``, or ``text`` to be cut into words, of ``n`` chunks to a row a block.
+
+    Chunks are dealt by length to cells that fill a block by chunks or words,
+    so that a task's work and memory depend neither on how many there are nor
+    on how long they are. ``sizes`` has the column ``size``, about the words of
+    each chunk, where it is cheaper to read elsewhere.
+    """
     kind = words.schema["chunk_id"].dataType.simpleString()
-    size = CHUNKS
-    parts = max(1, min(7 * n // (6 * size), 64 + n // (16 * size)))  # ranges are not quite even
-    dealt = words.repartitionByRange(parts, F.size("words"), "chunk_id").sortWithinPartitions(F.size("words"), "chunk_id")
+    size = F.coalesce(F.length("text") / LETTERS if "text" in words.columns else F.size("words"), F.lit(0))
+    sized = words.withColumn("size", F.greatest(size, F.lit(0)).cast("int"))
+    place = F.floor(F.log2(F.col("size") + 1.0) * CLASSES).cast("int")
+    found = []
+    if n > CHUNKS:
+        found = (sized if sizes is None else sizes).groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.sum("size").alias("w")).collect()  # a few hundred at most
+    first, many = cells([tuple(r) for r in found])
+
+    def at(values: list[int]):
+        told = F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+        return F.get(told, F.least(place, F.lit(len(values) - 1)))
+
+    every = first[-1] + many[-1]
+    cell = at(first) + F.pmod(F.xxhash64("chunk_id"), at(many)).cast("int")
+    dealt = sized.withColumn("cell", cell).drop("size").repartition(min(every, 64 + every // 8), "cell").sortWithinPartitions("cell")
+    if "text" in words.columns:
+        dealt = dealt.select("chunk_id", "department", tokens(F.col("text")).alias("words"), "cell")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -68,14 +108,17 @@ def build(words: DataFrame, segment: str, n: int) -> DataFrame:
             rows = rows.take(pc.sort_indices(rows.column("chunk_id")))  # equal scores go by id, which is then the place
             return _block(rows, f"{segment}/{rows.column('chunk_id')[0].as_py()}")
 
+        chunks, full, last = 0, 0, None
         for batch in batches:
-            while batch.num_rows:
-                held.append(batch.slice(0, size - sum(b.num_rows for b in held)))
-                batch = batch.slice(held[-1].num_rows)
-                if sum(b.num_rows for b in held) == size:
+            begin = 0
+            for row, (cell, size) in enumerate(zip(batch.column("cell").to_pylist(), pc.list_value_length(batch.column("words")).to_pylist())):
+                if chunks and (cell != last or chunks == CHUNKS or full + size > 2 * WORDS):
+                    held.append(batch.slice(begin, row - begin))
                     yield whole()
-                    held = []
-        if held:
+                    held, begin, chunks, full = [], row, 0, 0
+                chunks, full, last = chunks + 1, full + size, cell
+            held.append(batch.slice(begin))
+        if chunks:
             yield whole()
 
     return dealt.mapInArrow(cut, f"{POSTINGS}, chunk_ids array<{kind}>, departments array<string>")

@@ -17,7 +17,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verso.functions.text import tokens
 from verso.operators import blocks
 from verso.operators.lexical import EPSILON, asked_terms, top
 from verso.operators.manifest import Manifest, alive
@@ -54,15 +53,15 @@ class Segments:
         """All chunks that have not ended, with their places and metadata."""
         return alive(self.table(state, "rows", segments), self.dead(state))
 
-    def _segment(self, state: dict, words: DataFrame, meta: DataFrame, n: int) -> dict:
-        """Write a segment of ``words``; ``meta`` has ``chunk_id, born`` and metadata."""
-        made = self.manifest.write(blocks.build(words, uuid.uuid4().hex, n), "blocks")
+    def _segment(self, state: dict, words: DataFrame, meta: DataFrame, n: int, sizes: DataFrame | None = None) -> dict:
+        """Write a segment of ``words`` (or ``text``); ``meta`` has ``chunk_id, born`` and metadata."""
+        made = self.manifest.write(blocks.build(words, uuid.uuid4().hex, n, sizes), "blocks")
         block = self.manifest.read([made], self._schema(state, "blocks"))
         placed = block.select("block", F.posexplode(F.arrays_zip("chunk_ids", "lengths")).alias("place", "c")).select(F.col("c.chunk_ids").alias("chunk_id"), "block", "place", F.col("c.lengths").alias("length"))
         rows = self.manifest.write(placed.join(meta, "chunk_id"), "rows")
         size = block.agg(F.sum(F.size("chunk_ids")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).head()
         mean = max(1.0, (size[1] or 0) / max(1, size[0] or 0))
-        told = self.manifest.write(blocks.bounds(block, mean).repartitionByRange("term").sortWithinPartitions("term"), "bounds")
+        told = self.manifest.write(blocks.bounds(block, mean), "bounds")  # in the order of the blocks: a search reads them all, and no row is shuffled
         return {"blocks": made, "rows": rows, "bounds": told, "minus": [], "n": size[0] or 0, "length": size[1] or 0, "at": mean}
 
     def changed(self, state: dict, added: DataFrame | None, removed: DataFrame | None) -> dict:
@@ -85,7 +84,7 @@ class Segments:
             state |= {"segments": segments, "dead": [*state["dead"], self.manifest.write(ends.withColumn("died", F.lit(version).cast("long")), "dead")]}
         if added is not None and (n := added.count()):
             department = F.coalesce("department", F.lit("")) if "department" in added.columns else F.lit("")
-            words = added.select("chunk_id", department.alias("department"), tokens(F.col("text")).alias("words"))
+            words = added.select("chunk_id", department.alias("department"), "text")
             kept = [c for c in state["types"] if c != "chunk_id"]
             state["segments"] = [*state["segments"], self._segment(state, words, added.select("chunk_id", F.lit(version).cast("long").alias("born"), *kept), n)]
         state = self._merged({**state, "segments": [s for s in state["segments"] if s["n"]]})
@@ -104,7 +103,7 @@ class Segments:
         old = segments[first:]
         here = self.rows(state, old)
         words = blocks.words_of(self.table(state, "blocks", old)).join(here.select("chunk_id", "block"), ["chunk_id", "block"], "left_semi").drop("block")
-        new = self._segment(state, words, here.drop("block", "place", "length"), sum(s["n"] for s in old))
+        new = self._segment(state, words, here.drop("block", "place", "length"), sum(s["n"] for s in old), here.select(F.col("length").alias("size")))
         ended = state["dead"] if first or "chunks" in state else []  # nothing is left that could have ended
         return {**state, "segments": [*segments[:first], new], "dead": ended}
 
