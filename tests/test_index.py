@@ -6,7 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from verso.operators import blocks, index, lexical, predicates
+from verso.operators import answering, blocks, index, lexical, predicates
 from verso.operators.index import KeywordIndex
 from verso.operators.manifest import Conflict, Manifest, alive
 from verso.operators.registry import checksum_of, corpus_checksum, digest_sums, row_digest
@@ -137,6 +137,23 @@ def test_blocks_of_long_texts_are_bounded_and_dealt(spark, monkeypatch):
     assert len([r for r in made if max(r["lengths"]) < 500]) < 10  # short texts share blocks
 
 
+def test_what_is_found_is_not_searched_again(spark, tmp_path):
+    """Padded searches and answers read their hits several times, and search once."""
+    rng = random.Random(5)
+    chunks = spark.createDataFrame([row(i, rng) for i in range(60)], CHUNK)
+    own = KeywordIndex(spark, f"file://{tmp_path}/index")
+    own.refresh(chunks)
+    q = spark.createDataFrame([(1, WORDS[0]), (2, f"{WORDS[1]} {WORDS[2]}")], "query_id int, question string")
+    padded = lexical.search_padded(chunks, q, 7, index=own)
+    assert sorted(map(tuple, padded.collect())) == sorted(map(tuple, lexical.search_padded(chunks, q, 7).select(padded.columns).collect()))
+    asked = q.selectExpr("query_id", "question", "array(1f, 0f) query_vector", "cast(null as long) doc_id", "false has_history")
+    whole = chunks.selectExpr("*", "1 page_num", "0 chunk_index", "array(cast(chunk_id as float), 1f) embedding")
+    told = answering.answer(asked, whole, index=own, guard_input=False, embed_query=lambda _: F.array(F.lit(1.0), F.lit(0.0)))
+    assert told.count() == 2
+    for made in (padded, told):
+        assert "MapInArrow" not in made._jdf.queryExecution().toString()
+
+
 def test_cells_follow_lengths():
     assert blocks.cells([]) == ([0], [1])
     first, many = blocks.cells([(0, 10, 10), (1, 10, 20), (3, 5 * blocks.CHUNKS, 100), (5, 3, 3 * blocks.WORDS)])

@@ -14,6 +14,7 @@ from verso.operators.index import KeywordIndex
 from verso.operators.models import embed, extractive_answer, overlap_score
 from verso.operators.planner import plan
 from verso.operators.predicates import readable
+from verso.session import stored
 
 
 def rerank(found: DataFrame, prior: str, k: int = 3, score: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
@@ -94,11 +95,12 @@ def answer(questions: DataFrame, chunks: DataFrame, strategy: str = "hybrid", ge
     seen = told_of.join(mine, "doc_id").filter(readable(F.col("user_department"), F.col("is_admin")))
     place = W.partitionBy("query_id", "doc_id").orderBy("chunk_index", "page_num")
     ours = seen.withColumn("place", F.row_number().over(place)).filter("place <= 10").select("query_id", "chunk_id", "doc_id", "page_num", "text", F.col("place").alias("rank"))
-    hits = candidates(asked, chunks, strategy, keep, index, embed_query)
+    hits = stored(candidates(asked, chunks, strategy, keep, index, embed_query), "answer-hits")  # few rows, which go to the chunks
     hits = hits.join(chunks, "chunk_id").join(asked.select("query_id", "question"), "query_id")
     theirs = rerank(hits, "prior").select("query_id", "chunk_id", "doc_id", "page_num", "text", F.col("rerank_rank").alias("rank"))
     found = ours.unionByName(theirs)
     found = sanitize(found) if guard_retrieval else found.withColumns({"sanitized": F.lit(False), "substrings_redacted": F.lit(0)})
+    found = stored(found, "answer-found")  # read three times
     touched = found.groupBy("query_id").agg(F.count_if("sanitized").alias("sanitized_chunks"))
     told = q.join(contexts(found, "rank"), "query_id", "left").join(touched, "query_id", "left").na.fill(0, ["sanitized_chunks"]).join(sources(found, "rank"), "query_id", "left")
     end = (

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from verso.functions.text import tokens
 from verso.operators.predicates import readable
+from verso.session import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -85,12 +86,13 @@ def search_padded(chunks: DataFrame, questions: DataFrame, k: int = 20, index=No
     A zero ranks above a negative score. Only questions with fewer than ``k``
     positive scores are filled, and only of these all scores are made: from the
     first chunks, ``k`` more than any of them has scored, so that ``k`` unscored
-    ones are among them. ``index`` is a stored index of the chunks.
+    ones are among them. ``index`` is a stored index of the chunks. What is
+    found is read several times, so it is written once.
     """
-    found = search(chunks, questions, k) if index is None else index.search(questions, k)
+    found = stored(search(chunks, questions, k) if index is None else index.search(questions, k), "padded-found")
     up = found.groupBy("query_id").agg(F.count_if(F.col("bm25_score") > 0).alias("up"))
     needy = questions.join(up.filter(F.col("up") >= k), "query_id", "left_anti")
-    every = scores(chunks, needy) if index is None else index.scores(needy)
+    every = stored(scores(chunks, needy) if index is None else index.scores(needy), "padded-every")
     many = needy.select("query_id").join(every.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").na.fill(0, ["n"])
     deepest = many.agg(F.max("n")).first()[0] or 0
     first = chunks.select("chunk_id").orderBy("chunk_id").limit(k + deepest).withColumn("place", F.row_number().over(W.orderBy("chunk_id")))
