@@ -13,7 +13,7 @@ from verso.functions.patterns import COMPARISON, DEPARTMENTS, INJECTION, JAILBRE
 from verso.operators import answering, chunking, evaluation, fusion, guardrails, lexical, observability, planner, predicates, registry, sessions, vector
 from verso.operators.index import KeywordIndex
 from verso.operators.store import NAMES, ChunkStore
-from verso.session import shared_dir
+from verso.session import shared_dir, stored
 from verso.sources import files
 from verso.sources.tables import as_chunks, chunks, questions, read, with_vectors
 from verso.streaming import jobs
@@ -285,7 +285,7 @@ RERANKED = f"""top3 AS (SELECT * FROM (
 
 
 def _reranked(spark, sf_dir):
-    hits = _hybrid(spark, sf_dir).select("query_id", "chunk_id", "fusion_rank").join(chunks(spark, sf_dir), "chunk_id")
+    hits = stored(_hybrid(spark, sf_dir).select("query_id", "chunk_id", "fusion_rank"), "hybrid-hits").join(chunks(spark, sf_dir), "chunk_id")
     return answering.rerank(hits.join(questions(spark, sf_dir).select("query_id", "question"), "query_id"), "fusion_rank")
 
 
@@ -663,11 +663,12 @@ TRUTH = "truth AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id FROM benchmar
 
 
 def _truth(spark, sf_dir):
-    return evaluation.holders(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
+    return stored(evaluation.holders(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))), "truth")
 
 
-def _evaluated(spark, sf_dir, ranked):
-    expected = _truth(spark, sf_dir).select("query_id", F.col("doc_id").alias("source_id"), F.col("doc_id").cast("string").alias("filename"), F.lit(None).cast("int").alias("page_num"))
+def _evaluated(spark, sf_dir, ranked, truth=None):
+    truth = _truth(spark, sf_dir) if truth is None else truth
+    expected = truth.select("query_id", F.col("doc_id").alias("source_id"), F.col("doc_id").cast("string").alias("filename"), F.lit(None).cast("int").alias("page_num"))
     known = expected.select("query_id").distinct().withColumn("known", F.lit(True))
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(known, "query_id", "left").select("query_id", F.when(F.col("known"), "factual").otherwise("negative").alias("category"))
     return evaluation.metrics(ranked, expected, asked)
@@ -716,7 +717,8 @@ def eval_by_category(spark, sf_dir):
 {_metrics_sql('SELECT query_id, fusion_rank AS rank, chunk_id FROM fused').replace('hit AS', 'hit2 AS').replace('FROM hit GROUP', 'FROM hit2 GROUP').replace('got AS', 'got2 AS').replace('LEFT JOIN got ON got.', 'LEFT JOIN got2 ON got2.').replace('want AS', 'want2 AS').replace('LEFT JOIN want ON want.', 'LEFT JOIN want2 ON want2.').replace('m AS (', 'm2 AS (', 1)}
 SELECT a.query_id, a.mrr AS keyword, m2.mrr AS hybrid FROM a JOIN m2 USING (query_id)""")
 def eval_ab(spark, sf_dir):
-    by = {"keyword": _evaluated(spark, sf_dir, _ranked_lexical(spark, sf_dir)), "hybrid": _evaluated(spark, sf_dir, _ranked_hybrid(spark, sf_dir))}
+    truth = _truth(spark, sf_dir)
+    by = {"keyword": _evaluated(spark, sf_dir, _ranked_lexical(spark, sf_dir), truth), "hybrid": _evaluated(spark, sf_dir, _ranked_hybrid(spark, sf_dir), truth)}
     return evaluation.compare(by, "mrr")
 
 
