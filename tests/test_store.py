@@ -1,5 +1,7 @@
+import pyarrow as pa
 import pytest
 
+from verso.operators.manifest import Manifest
 from verso.operators.store import ChunkStore, ingest
 from verso.sources import files
 from verso.streaming import jobs
@@ -96,3 +98,23 @@ def test_a_stream_of_documents_equals_one_batch(spark):
         firsts[r["file_hash"]] = min(r["doc_id"], firsts.get(r["file_hash"], r["doc_id"]))
     ingest(whole, pages.filter(pages["doc_id"].isin(list(firsts.values()))))
     assert rows_of(store) == rows_of(whole) and store.documents().count() == len(firsts)
+
+
+def test_python_steps_of_written_parts_get_few_rows_at_once(spark, tmp_path):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    name, manifest = "spark.sql.execution.arrow.maxRecordsPerBatch", Manifest(spark, str(tmp_path))
+    before = spark.conf.get(name)
+    rows = spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long")
+    for at_once, most in ((4, 4), (1024, 1024)):
+        found = [r["n"] for r in manifest.read([manifest.write(rows, "sizes", at_once)], "n long").collect()]
+        assert max(found) == most and sum(found) == 3000
+    assert spark.conf.get(name) == before
+
+
+def test_an_empty_part_starts_no_python(spark, tmp_path):
+    none = Manifest(spark, str(tmp_path)).read([], "chunk_id string, died long")
+    assert none.count() == 0 and none.columns == ["chunk_id", "died"]
+    assert "ExistingRDD" not in none._jdf.queryExecution().toString()

@@ -27,6 +27,8 @@ METADATA = ("doc_id", "filename", "department", "document_status", "document_typ
 TOGETHER, NAMED = 256, 4096
 #: Blocks up to which all are scored at once: asking for bounds first costs more than it saves.
 FEW = 64
+#: Blocks, and chunks of which blocks are made, that a Python step gets at once: it holds them whole.
+BLOCKS, TEXTS = 4, 256
 BOUNDS = "term string, block string, df long, bound double"
 
 
@@ -55,13 +57,13 @@ class Segments:
 
     def _segment(self, state: dict, words: DataFrame, meta: DataFrame, n: int, sizes: DataFrame | None = None) -> dict:
         """Write a segment of ``words`` (or ``text``); ``meta`` has ``chunk_id, born`` and metadata."""
-        made = self.manifest.write(blocks.build(words, uuid.uuid4().hex, n, sizes), "blocks")
+        made = self.manifest.write(blocks.build(words, uuid.uuid4().hex, n, sizes), "blocks", TEXTS)
         block = self.manifest.read([made], self._schema(state, "blocks"))
         placed = block.select("block", F.posexplode(F.arrays_zip("chunk_ids", "lengths")).alias("place", "c")).select(F.col("c.chunk_ids").alias("chunk_id"), "block", "place", F.col("c.lengths").alias("length"))
         rows = self.manifest.write(placed.join(meta, "chunk_id"), "rows")
         size = block.agg(F.sum(F.size("chunk_ids")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).head()
         mean = max(1.0, (size[1] or 0) / max(1, size[0] or 0))
-        told = self.manifest.write(blocks.bounds(block, mean), "bounds")  # in the order of the blocks: a search reads them all, and no row is shuffled
+        told = self.manifest.write(blocks.bounds(block, mean), "bounds", BLOCKS)  # in the order of the blocks: a search reads them all, and no row is shuffled
         return {"blocks": made, "rows": rows, "bounds": told, "minus": [], "n": size[0] or 0, "length": size[1] or 0, "at": mean}
 
     def changed(self, state: dict, added: DataFrame | None, removed: DataFrame | None) -> dict:
@@ -78,7 +80,7 @@ class Segments:
                 less = gone.agg(F.sum(F.size("gone")), F.sum("length")).head()
                 if less[0]:
                     minus = blocks.lost(self.table(state, "blocks", [s]).join(gone.select("block", "gone"), "block"))
-                    minus = self.manifest.write(minus.select("term", F.lit(None).cast("string").alias("block"), "df", F.lit(0.0).alias("bound")), "bounds")
+                    minus = self.manifest.write(minus.select("term", F.lit(None).cast("string").alias("block"), "df", F.lit(0.0).alias("bound")), "bounds", BLOCKS)
                     s = s | {"minus": [*s["minus"], minus], "n": s["n"] - less[0], "length": s["length"] - less[1]}
                 segments.append(s)
             state |= {"segments": segments, "dead": [*state["dead"], self.manifest.write(ends.withColumn("died", F.lit(version).cast("long")), "dead")]}
@@ -141,7 +143,8 @@ class Segments:
         mean = state["length"] / max(1, state["n"])
         if k is None or state["n"] <= FEW * blocks.CHUNKS:
             every = F.when(F.size("questions") > 0, F.sequence(F.lit(0), F.size("questions") - 1))
-            return self._scored(state, self.table(state, "blocks").crossJoin(packs.withColumn("wanted", every)), mean, k, keep)  # the asked set, in packs
+            found = self._scored(state, self.table(state, "blocks").crossJoin(packs.withColumn("wanted", every)), mean, k, keep)  # the asked set, in packs
+            return found
         packs = self._kept(packs)
         numbered = packs.select("pack", F.posexplode("questions").alias("pos", "q")).select("pack", "pos", F.col("q.query_id").alias("query_id"), F.explode(F.arrays_zip(F.col("q.terms").alias("term"), F.col("q.weights").alias("w"))).alias("t"))
 
@@ -159,9 +162,9 @@ class Segments:
         open_ = reach.filter("block != best").join(limit, "query_id", "left").filter("limit IS NULL OR reach >= limit - 2e-6")
         return first.unionByName(self._scored(state, work(open_), mean, k, keep))
 
-    def _kept(self, rows: DataFrame) -> DataFrame:
-        """Rows that several steps read, written once beside the tables."""
-        return self.manifest.read([self.manifest.write(rows, "searches")], rows.schema)
+    def _kept(self, rows: DataFrame, at_once: int = 1024) -> DataFrame:
+        """Rows that several steps read or that come of whole blocks, written once beside the tables."""
+        return self.manifest.read([self.manifest.write(rows, "searches", at_once)], rows.schema)
 
     def _scored(self, state: dict, work: DataFrame, mean: float, k: int | None, keep: Column | None) -> DataFrame:
         none = F.lit(None).cast("array<int>")
