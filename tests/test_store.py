@@ -1,6 +1,7 @@
 import pyarrow as pa
 import pytest
 
+from verso.operators.index import KeywordIndex
 from verso.operators.manifest import Manifest
 from verso.operators.store import ChunkStore, ingest
 from verso.sources import files
@@ -118,3 +119,19 @@ def test_an_empty_part_starts_no_python(spark, tmp_path):
     none = Manifest(spark, str(tmp_path)).read([], "chunk_id string, died long")
     assert none.count() == 0 and none.columns == ["chunk_id", "died"]
     assert "ExistingRDD" not in none._jdf.queryExecution().toString()
+
+
+def test_blocks_reach_python_few_at_once(spark, tmp_path, monkeypatch):
+    seen = {}
+    write = Manifest.write
+
+    def spy(self, rows, table, at_once=1024):
+        seen[table] = max(at_once, seen.get(table, 0))
+        return write(self, rows, table, at_once)
+
+    monkeypatch.setattr(Manifest, "write", spy)
+    index = KeywordIndex(spark, str(tmp_path))
+    index.refresh(spark.createDataFrame([(i, f"one w{i}", "", "", "") for i in range(20)], "chunk_id long, text string, department string, document_status string, document_type string"))
+    found = index.search(spark.createDataFrame([(1, "one w3")], "query_id int, question string"), 5)
+    assert [r["chunk_id"] for r in found.orderBy("bm25_rank").collect()][0] == 3
+    assert seen["bounds"] <= 8 and seen["searches"] <= 8 and seen["blocks"] <= 1024

@@ -144,7 +144,7 @@ class Segments:
         if k is None or state["n"] <= FEW * blocks.CHUNKS:
             every = F.when(F.size("questions") > 0, F.sequence(F.lit(0), F.size("questions") - 1))
             found = self._scored(state, self.table(state, "blocks").crossJoin(packs.withColumn("wanted", every)), mean, k, keep)  # the asked set, in packs
-            return found
+            return found if k is None else self._kept(found, BLOCKS)
         packs = self._kept(packs)
         numbered = packs.select("pack", F.posexplode("questions").alias("pos", "q")).select("pack", "pos", F.col("q.query_id").alias("query_id"), F.explode(F.arrays_zip(F.col("q.terms").alias("term"), F.col("q.weights").alias("w"))).alias("t"))
 
@@ -157,10 +157,10 @@ class Segments:
             wanted = open_.groupBy("pack", "block").agg(F.collect_list("pos").alias("wanted"))
             return self.table(state, "blocks").join(wanted, "block").join(packs, "pack")
 
-        first = self._kept(self._scored(state, work(reach.filter("block = best")), mean, k, keep))
+        first = self._kept(self._scored(state, work(reach.filter("block = best")), mean, k, keep), BLOCKS)
         limit = top(first, k).filter(F.col("bm25_rank") == k).select("query_id", F.col("bm25_score").alias("limit"))
         open_ = reach.filter("block != best").join(limit, "query_id", "left").filter("limit IS NULL OR reach >= limit - 2e-6")
-        return first.unionByName(self._scored(state, work(open_), mean, k, keep))
+        return first.unionByName(self._kept(self._scored(state, work(open_), mean, k, keep), BLOCKS))
 
     def _kept(self, rows: DataFrame, at_once: int = 1024) -> DataFrame:
         """Rows that several steps read or that come of whole blocks, written once beside the tables."""
