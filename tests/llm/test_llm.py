@@ -145,6 +145,25 @@ def test_passages_whose_seeds_lead_to_third_texts(spark):
     assert want <= {d for a, b, n in found if n >= 60 for d in (a, b)}
 
 
+def test_edited_passages_beside_third_texts(spark):
+    """Two texts share a passage with an edit; others hold each part of it, in other words. And texts that hold a common
+    middle in words of their own, two by two: each two are linked with each other or with the same third."""
+    rng, rows, want = random.Random(31), [], set()
+    for i in range(24):
+        p = prose(60, rng).split()
+        q = [*p[:30], "edited", *p[31:]]
+        want.add(frozenset((100 * i, 100 * i + 1)))
+        parts = [p[:29], p[31:], p[4:28], p[33:58]]
+        rows += [(100 * i + k, prose(40 + k, rng) + " " + " ".join(w) + " " + prose(30, rng), "s") for k, w in enumerate([p, q, *parts, *parts])]
+    middle = prose(30, rng)
+    for i in range(20):
+        around = prose(12, rng), prose(12, rng)
+        want.add(frozenset((5000 + 2 * i, 5001 + 2 * i)))
+        rows += [(5000 + 2 * i + k, f"{prose(30, rng)} {around[0]} {middle} {around[1]} {prose(30, rng)}", "s") for k in (0, 1)]
+    got = {frozenset((r["doc_id"], r["other_id"])) for r in chains.fuzzy_passages(table(spark, rows)).collect()}
+    assert got == want
+
+
 # op3 ------------------------------------------------------------------------------------------------
 
 
