@@ -184,6 +184,14 @@ def test_recall_of_edited_passages(spark):
     assert len(want & got) >= 0.95 * len(want) and len(want) > 60
 
 
+def test_blocks_of_records_are_made_once(spark):
+    rows = table(spark, [(1, "x" * 200, "a"), (2, "", "a")]).select(F.col("doc_id").alias("key"), F.lit("u").alias("uri"), F.col("text").alias("payload"), F.monotonically_increasing_id().alias("uid"))
+    rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long"), "refers_to": F.lit(None).cast("long"), "refers_uid": F.lit(None).cast("long")})
+    made = warc.records(rows)
+    assert made.count() == 2
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("array_join") == 1
+
+
 def test_templates():
     a = licenses.compile_template("t", "use of {{1..2}} is [[hereby kindly]] granted")
     for text, good in (("use of it is granted", True), ("use of it all is hereby kindly granted", True), ("use of is granted", False), ("use of a b c is granted", False), ("use of it is kindly granted", False), ("use of it is granted not", True)):
