@@ -3,7 +3,9 @@
 Quality rules drop bad documents, MinHash near-dedup keeps one document of each
 group (five-word shingles, similarity 0.8), decontamination drops documents
 that hold a benchmark item, the secret scan blanks secrets, and mixing draws
-the documents to target weights. All stages but the last return the columns of
+the documents to target weights. Stages that end in a Python step store their
+rows themselves, so that the step gets small batches whoever writes the result.
+All stages but the last return the columns of
 ``documents``; the last returns one row a document with the words and copies
 that the mix takes of it.
 """
@@ -36,13 +38,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Null, empty and shorter than five-word texts hold none and stay;
     repeated rows are judged alike; very long texts are read whole; empty tables are allowed; all columns are kept."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return stored(decontaminate(docs, table(spark, sf_dir, "benchmark")), "pipeline-clean")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets blanked in their texts. Null and empty texts stay as they are; repeated rows are treated
     alike; very long texts are read whole; an empty table stays empty; all columns are kept."""
-    return redact_secrets(docs)
+    return stored(redact_secrets(docs), "pipeline-redacted")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from verso.llm import chains, chat, decontaminate, licenses, minhash, mixing, quality, secrets, suffixes, warc
-from verso.llm.common import even_join, shared_dir
+from verso.llm.common import even_join, shared_dir, stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, key string, size string"
 RNG = random.Random(4)
@@ -448,6 +449,23 @@ def test_hot_keys_are_dealt_and_lose_nothing(spark):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).select(got.columns).collect()), key=str)
 
 
+def test_plans_of_joins_with_hot_keys_are_short(spark):
+    left = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 97).alias("k"))
+    joined = even_join(left, left.select("k").distinct(), "k", ("id",))
+    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert len(joined._jdf.queryExecution().toString()) < 20_000
+
+
+def test_python_steps_of_stored_tables_hold_few_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    docs = spark.range(400, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    found = stored(docs.mapInArrow(sizes, "rows long, bytes long"), "sizes").agg(F.sum("rows"), F.max("bytes")).first()
+    assert found[0] == 400 and found[1] < 4_000_000
+
+
 def test_odd_sketch_estimates(spark):
     rng = np.random.default_rng(0)
     sampler = minhash.Sampler(36, 6)
