@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +186,17 @@ def test_recall_of_edited_passages(spark):
     assert len(want & got) >= 0.95 * len(want) and len(want) > 60
 
 
+def test_stretches_of_many_chains_are_handed_on_in_small_parts():
+    text = prose(600)
+    runs = [{"other": k, "other_id": str(k), "x": [k % 500], "y": [0]} for k in range(3000)]
+    batch = pd.DataFrame({"doc": [1, 2], "doc_id": ["1", "2"], "text": [text, text], "runs": [runs, runs[:10]]})
+    parts = list(chains._stretches(iter([batch]), 200))
+    assert all(p["words"].map(len).sum() < 3_000_000 for p in parts)
+    whole, words = pd.concat(parts), minhash.word_hashes(text)
+    assert list(zip(whole["doc"], whole["other"])) == [(1, k) for k in range(3000)] + [(2, k) for k in range(10)]
+    assert all(w == words[s : x[0] + 205].tobytes() and s == max(0, x[0] - 200) for w, s, x in zip(whole["words"], whole["start"], whole["x"]))
+
+
 def test_blocks_of_records_are_made_once(spark):
     rows = table(spark, [(1, "x" * 200, "a"), (2, "", "a")]).select(F.col("doc_id").alias("key"), F.lit("u").alias("uri"), F.col("text").alias("payload"), F.monotonically_increasing_id().alias("uid"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long"), "refers_to": F.lit(None).cast("long"), "refers_uid": F.lit(None).cast("long")})
