@@ -8,6 +8,27 @@ from verso.sources import files
 from verso.streaming import jobs
 
 
+def test_texts_are_not_sorted_on_the_way_to_the_store(spark):
+    seen = []
+
+    class Told:
+        def change(self, added, **_):
+            seen.append(added)
+
+        def documents(self):
+            return spark.createDataFrame([], "doc_id string, status string, chunk_count long, page_count long, error string")
+
+    pages = jobs.document_pages(spark.createDataFrame([(1, "a b " * 300, "x"), (2, "c d " * 300, "y")], "doc_id long, text string, source string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ingest(Told(), pages)
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_ingest_patch_and_delete(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -163,7 +163,8 @@ def ingest(store: ChunkStore, pages: DataFrame, size: int = 1000, overlap: int =
     changes nothing.
     """
     good = pages.filter("error is null")
-    named = good.groupBy("doc_id").agg(F.max("filename").alias("filename"))
+    # texts are not sorted for the join: a task holds the names of its documents, however long these are
+    named = good.groupBy("doc_id").agg(F.max("filename").alias("filename")).hint("shuffle_hash")
     chunks = chunk_pages(good, size, overlap, least).join(named, "doc_id").withColumn("embedding", embed(F.col("text")))
     full = chunks.withColumns({c: F.lit(v) for c, v in DEFAULTS.items() if c not in chunks.columns})
     hashed = F.max("file_hash") if "file_hash" in pages.columns else F.lit(None).cast("string")

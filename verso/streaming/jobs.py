@@ -175,7 +175,8 @@ def ingest_pages(stream: DataFrame, store: ChunkStore, checkpoint: str, source:
             return
         first = batch.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
         fresh = first.join(store.held(first), "file_hash", "left_anti").select("doc_id", "file_hash")
-        ingest_batch(store, batch.join(fresh, ["doc_id", "file_hash"], "left_semi"), batch=(source, number), **sizes)
+        # a task holds the digests of what is new, and texts pass it unsorted
+        ingest_batch(store, batch.join(fresh.hint("shuffle_hash"), ["doc_id", "file_hash"], "left_semi"), batch=(source, number), **sizes)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
