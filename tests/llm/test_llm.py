@@ -166,6 +166,73 @@ def test_edited_passages_beside_third_texts(spark):
     assert got == want
 
 
+def test_words_over_and_over_leave_three_seeds(spark):
+    """A word, or a line of eleven words, many times: its first, middle and last place stay of each seed."""
+    rng = random.Random(17)
+    before, after, line = prose(60, rng), prose(60, rng), " ".join(rng.sample(WORDS, 11))
+    rows = [(1, f"{before} {'la ' * 3000}{after}", "s"), (2, f"{before} {(line + ' ') * 300}{after}", "s"), (3, f"{before} {after}", "s")]
+    found = {r["doc_id"]: r for r in chains._seeds(table(spark, rows).withColumn("doc", F.col("doc_id")), 20, 6, 50).collect()}
+    plain, word, lines = found[3], found[1], found[2]
+    assert len(word["seed"]) <= len(plain["seed"]) + 20 and max(word["many"]) > 2900
+    assert len(lines["seed"]) <= len(plain["seed"]) + 3 * 11 + 20 and max(lines["many"]) >= 298
+    places = [p for s, p in zip(word["seed"], word["pos"]) if s == word["seed"][word["many"].index(max(word["many"]))]]
+    assert len(places) == 3 and places[0] <= 62 and 1500 < places[1] < 1600 and places[2] >= 3030
+    # equal distances with other words between them are no stretch
+    apart = np.array([1, 2, 3, 9, 8, 1, 2, 3, 7, 6, 1, 2, 3, 5, 5], np.uint64)
+    stay, many = chains.kept_places(apart, np.array([4, 4, 4], np.uint64), np.array([0, 5, 10]), 3, 100)
+    assert stay.tolist() == [0, 1, 2] and many.tolist() == [1, 1, 1]
+
+
+def test_pairs_that_may_match_are_not_lost():
+    """The test before alignment against all windows, with words that repeat."""
+    rng, seen = random.Random(5), collections.Counter()
+    for _ in range(300):
+        letters = [rng.randrange(1, 1 << 40) for _ in range(rng.choice((1, 2, 40)))]
+        core = [rng.choice(letters) for _ in range(rng.randint(8, 40))]
+
+        def text():
+            w = [rng.choice(letters) for _ in range(rng.randint(0, 12))] + core + [rng.choice(letters) for _ in range(rng.randint(0, 12))]
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.randrange(1 << 41, 1 << 42)
+            return chains.kmers(np.array(w, np.uint64))
+
+        a, b = text(), text()
+        least_words, n = 16, 4  # k-mers of a seed of eight words
+        for i, j in [(i, j) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1) if np.array_equal(a[i : i + n], b[j : j + n])][:3]:
+            whole = False
+            for p, q in [(p, q) for p in range(i + 1) for q in range(max(i + n, p + least_words - 4), len(a) + 1)]:
+                for r, t in [(r, r + q - p + k) for r in (j - i + p - 1, j - i + p) for k in (0, 1)]:
+                    if not whole and 0 <= r <= j and max(j + n, r + least_words - 4) <= t <= len(b) and a[p] in b[r:t] and a[q - 1] in b[r:t] and b[r] in a[p:q] and b[t - 1] in a[p:q]:
+                        x, y = collections.Counter(a[p:q].tolist()), collections.Counter(b[r:t].tolist())
+                        whole = sum((x & y).values()) >= 0.8 * sum((x | y).values())
+            may = chains.may_match(a, i, b, n, 0.8, least_words) and chains.may_match(b, j, a, n, 0.8, least_words)
+            assert may or not whole
+            seen[may, whole] += 1
+    assert min(seen[True, True], seen[False, False]) > 50
+
+
+def test_passages_of_words_that_repeat(spark):
+    """Texts of runs of few words, and families of edited copies: texts with fifty equal words in a row are linked with each
+    other or with the same third, and the work does not follow the number of their places in pairs."""
+    rng, rows = random.Random(8), []
+    few = [rng.choice(WORDS) for _ in range(6)]
+    for i in range(50):
+        rows.append((i, " ".join(w for _ in range(4) for w in [rng.choice(few)] * rng.randint(20, 120)), "s"))
+    base = prose(150, rng).split()
+    for i in range(100, 130):
+        words = list(base)
+        for k in rng.sample(range(150), 3):
+            words[k] = "edited%d" % i
+        rows.append((i, " ".join(words), "s"))
+    got = collections.defaultdict(set)
+    for r in chains.fuzzy_passages(table(spark, rows)).collect():
+        got[r["doc_id"]].add(r["other_id"])
+        got[r["other_id"]].add(r["doc_id"])
+    windows = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, t, _ in rows for w in [t.split()]}
+    want = [(i, j) for i in windows for j in windows if i < j and windows[i] & windows[j]]
+    assert len(want) > 400 and all(j in got[i] or got[i] & got[j] for i, j in want)
+
+
 # op3 ------------------------------------------------------------------------------------------------
 
 
