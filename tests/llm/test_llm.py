@@ -206,9 +206,11 @@ def test_pairs_that_may_match_are_not_lost():
                         x, y = collections.Counter(a[p:q].tolist()), collections.Counter(b[r:t].tolist())
                         whole = sum((x & y).values()) >= 0.8 * sum((x | y).values())
             may = chains.may_match(a, i, b, n, 0.8, least_words) and chains.may_match(b, j, a, n, 0.8, least_words)
-            assert may or not whole
-            seen[may, whole] += 1
-    assert min(seen[True, True], seen[False, False]) > 50
+            (dense, edge, others), (dense_, edge_, others_) = (chains.sides(x, k, n, 0.8, least_words, 2) for x, k in ((a, i), (b, j)))
+            near = dense and dense_ or (np.isin(edge, others_).any() and np.isin(others, edge_).any())
+            assert (may and near) or not whole
+            seen[may and near, whole] += 1
+    assert min(seen[True, True], seen[False, False]) > 50, seen
 
 
 def test_passages_of_words_that_repeat(spark):
